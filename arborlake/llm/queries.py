@@ -6,14 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborlake.llm import bpe, mixing, repeats, simhash, token_counts
+from arborlake.llm import bpe, embeddings, langid, mixing, quality, repeats, simhash, token_counts, topk, toxicity
 from arborlake.llm.shared import table
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.op1(table(spark, sf_dir, "embeddings"))
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op2(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op3(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.op6(table(spark, sf_dir, "documents"))
 
@@ -26,14 +42,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.op10(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op4_bpe, op6_token_counts, op7_simhash, op8_mixing, op10_repeats)
+    found = (
+        op1_embeddings, op2_topk, op3_quality, op4_bpe, op5_langid, op6_token_counts, op7_simhash, op8_mixing, op9_toxicity, op10_repeats,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": mixing.ORACLE}
+    return {"op2_topk": topk.ORACLE, "op8_mixing": mixing.ORACLE}
