@@ -178,7 +178,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     blocks = shard_transforms(docs, length).groupBy(F.col("core").alias("b_core")).agg(
         F.sum("suffixes").alias("suffixes"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    blocks = blocks.where("suffixes > 1").select("b_core", (F.col("low") != F.col("high")).alias("splits"))
+    # a table of its own, so that the join below can split a block that holds many suffixes
+    blocks = written(blocks.where("suffixes > 1").select("b_core", (F.col("low") != F.col("high")).alias("splits")), "blocks")
     active = shard_suffixes(docs, length).join(blocks, F.col("core") == F.col("b_core")).drop("b_core")
     active = written(active, "suffixes")
     settled = active.where("not splits").select(*cut)
