@@ -19,12 +19,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from arborlake.llm.components import connected_components
 from arborlake.llm.shared import text_key, written
@@ -60,9 +58,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf(T.LongType())
-def fingerprints(texts: pd.Series) -> pd.Series:
-    return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, fp for each row."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], names=["doc_id", "text_key", "fp"])
+
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
 
 
 def block_keys(count: int, radius: int = RADIUS) -> list[tuple[int, ...]]:
@@ -169,7 +174,7 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE)
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
-    prints = written(docs.select("doc_id", text_key().alias("text_key"), fingerprints("text").alias("fp")), "fingerprints")
+    prints = written(fingerprints(docs), "fingerprints")
     values = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
     roots = connected_components(fingerprint_links(values.select("fp"), radius))
     named = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
