@@ -246,16 +246,16 @@ def op10(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with every repeated passage cut out of text; a character that is cut in part goes. Documents of which nothing is left go."""
 
-    @F.pandas_udf("string")
-    def cut(texts, spans):
-        import pandas as pd
-
-        return pd.Series(
-            [t if t is None or s is None else kept(t.encode(), merged([{"lo": x["lo"], "hi": x["hi"]} for x in s])).decode("utf-8", "ignore") for t, s in zip(texts, spans)],
-            dtype=object,
-        )
-
-    joined = _with_spans(docs, length)
-    text = F.when(F.col("__r_spans").isNull(), F.col("text")).otherwise(cut("text", "__r_spans"))
-    out = joined.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.col("__r_spans").isNotNull().alias("__r_cut"))
-    return out.where("not __r_cut or text != ''").drop("__r_cut")
+    at, columns = docs.columns.index("text"), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, stay = [], []
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
+                left = text if spans is None else kept(text.encode(), merged(spans)).decode("utf-8", "ignore")
+                texts.append(left)
+                stay.append(spans is None or left != "")
+            arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stay, pa.bool_()))
+
+    return _with_spans(docs, length).select(*columns, "__r_spans").mapInArrow(run, docs.schema)

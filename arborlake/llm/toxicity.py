@@ -16,7 +16,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -311,9 +310,11 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` that the classifier does not reject; all columns stay."""
     model = fit(docs.select("doc_id", "text"), labels)
 
-    @F.pandas_udf("double")
-    def scores(texts: pd.Series) -> pd.Series:
-        parts = [model.score(run) for run in features.pieces(texts.tolist())]
-        return pd.Series(np.concatenate(parts) if parts else np.empty(0))
+    at = docs.columns.index("text")
 
-    return docs.where(scores("text") < threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [model.score(texts) for texts in features.pieces(batch.column(at).to_pylist())]
+            yield batch.filter(pa.array(np.concatenate(parts) < threshold if parts else np.empty(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
