@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from arborlake.llm import pretokens
 
 VOCABULARY = "byte_bpe_50k.json"
-STORE = 400_000
+STORE = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -184,12 +184,12 @@ def encode(texts: list[str | None], name: str = VOCABULARY) -> Iterator[np.ndarr
     """The ids of each text."""
     vocab, store = vocabulary(name), encoder(name)
     plain = ["" if t is None else t for t in texts]
-    splits = [pretokens.split(run, vocab.special) for _, run in pretokens.pieces(plain)]
-    for s, rows in zip(splits, store.look(splits)):
-        ids, before = store.expand(rows)
-        cuts = before[s.ends]
-        for a, b in zip(np.concatenate(([0], cuts[:-1])).tolist(), cuts.tolist()):
-            yield ids[a:b]
+    for group in pretokens.splits(plain, vocab.special):
+        for s, rows in zip(group, store.look(group)):
+            ids, before = store.expand(rows)
+            cuts = before[s.ends]
+            for a, b in zip(np.concatenate(([0], cuts[:-1])).tolist(), cuts.tolist()):
+                yield ids[a:b]
 
 
 def decode(ids: np.ndarray, name: str = VOCABULARY) -> str:

@@ -8,6 +8,7 @@ matching, and names each pre-token by a 64-bit key, so that only different pre-t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -18,6 +19,7 @@ OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 #: A code point that no text has; it stands for the special string.
 MARK = 0x110000
 CHARS = 1 << 20
+GROUP = 6
 
 
 @lru_cache(maxsize=1)
@@ -121,14 +123,26 @@ def split(texts: list[str], special: str) -> Split:
     return Split(keys, words, which, np.searchsorted(starts, stops), starts)
 
 
-def pieces(texts: list[str], chars: int = CHARS):
-    """Runs of consecutive texts of about ``chars`` characters, as (first index, texts)."""
-    at, size, run = 0, 0, []
-    for i, text in enumerate(texts):
+def pieces(texts: list[str], chars: int = CHARS) -> Iterator[list[str]]:
+    """Runs of consecutive texts of about ``chars`` characters."""
+    size, run = 0, []
+    for text in texts:
         run.append(text)
         size += len(text)
         if size >= chars:
-            yield at, run
-            at, size, run = i + 1, 0, []
+            yield run
+            size, run = 0, []
     if run:
-        yield at, run
+        yield run
+
+
+def splits(texts: list[str], special: str) -> Iterator[list[Split]]:
+    """The splits of consecutive runs of texts, GROUP runs at a time: what is encoded together and then forgotten."""
+    group = []
+    for run in pieces(texts):
+        group.append(split(run, special))
+        if len(group) == GROUP:
+            yield group
+            group = []
+    if group:
+        yield group

@@ -133,11 +133,11 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = bpe.VOCABULARY
         vocab, store = bpe.vocabulary(name), counter(name)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            splits = [pretokens.split(part, vocab.special) for _, part in pretokens.pieces(texts)]
             sums = [np.empty(0, np.int64)]
-            for s, rows in zip(splits, store.look(splits)):
-                before = np.concatenate(([0], np.cumsum(store.values[rows], dtype=np.int64)))
-                sums.append(np.diff(before[np.concatenate(([0], s.ends))]))
+            for group in pretokens.splits(texts, vocab.special):
+                for s, rows in zip(group, store.look(group)):
+                    before = np.concatenate(([0], np.cumsum(store.values[rows], dtype=np.int64)))
+                    sums.append(np.diff(before[np.concatenate(([0], s.ends))]))
             counts = np.concatenate(sums)
             sizes = np.array([len(t.encode()) for t in texts], dtype=np.int64)
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > limit)]
