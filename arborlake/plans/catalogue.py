@@ -652,3 +652,115 @@ def stream_rollup(spark, d):
 def page_outline(spark, d):
     count = lambda p: F.regexp_count("html", F.lit(p))
     return table(spark, d, "pages").select("page_id", count(r"<h[1-6][^>]*>").alias("headings"), count(r"<a [^>]*href=").alias("links"), count("<p>").alias("paragraphs"))
+
+
+# ---- extraction, sinks and feeds
+
+
+def _nation_sources(spark, d) -> DataFrame:
+    """A Python file for each nation: a class of its region with one method."""
+    k, r = F.col("n_nationkey").cast("string"), F.col("n_regionkey").cast("string")
+    body = F.concat(F.lit("import base\n\nclass Nation"), k, F.lit("(Region"), r, F.lit("):\n    def run_"), k, F.lit("(self):\n        return {\n            1: 2\n        }\n\ndef free_"), k, F.lit("():\n    pass\n"))
+    return table(spark, d, "nation").select(F.concat(F.lit("src/n"), k, F.lit(".py")).alias("path"), body.alias("content"))
+
+
+@query("""WITH n AS (SELECT n_nationkey::VARCHAR AS k, n_regionkey::VARCHAR AS r, 'src_n' || n_nationkey || '_py' AS f FROM nation)
+SELECT f AS source, f || '_nation' || k AS target, 'contains' AS relation FROM n UNION ALL SELECT f, f || '_free_' || k, 'contains' FROM n UNION ALL SELECT f || '_nation' || k, f || '_run_' || k, 'method' FROM n
+UNION ALL SELECT f || '_nation' || k, 'region' || r, 'inherits' FROM n UNION ALL SELECT f, 'base', 'imports' FROM n""")
+def extract_python(spark, d):
+    from arborlake.extract.structure import extracted
+
+    return extracted(_nation_sources(spark, d), ["python"]).edges.select("source", "target", "relation")
+
+
+@query("SELECT 'src/n' || n_nationkey || '.py' AS path, unnest([3, 4, 9]) AS line, unnest(['class', 'method', 'function']) AS kind, unnest(['Nation' || n_nationkey, 'run_' || n_nationkey, 'free_' || n_nationkey]) AS name FROM nation")
+def outline_lines(spark, d):
+    from arborlake.extract.structure import outline
+
+    return outline(_nation_sources(spark, d), ["python"])
+
+
+@query("SELECT 'src/n' || n_nationkey || '.py' AS path, 'run_' || n_nationkey AS name, 4 AS line, 7 AS \"end\" FROM nation")
+def method_end_running_sum(spark, d):
+    from arborlake.extract.structure import method_ranges, outline
+    from arborlake.sources.files import lines
+
+    files = _nation_sources(spark, d)
+    return method_ranges(lines(files), outline(files, ["python"]).where("kind = 'method'").select("path", "name", "line"))
+
+
+@query("""WITH $T SELECT 'CREATE (:Node {id: ''' || id || ''', label: ''' || label || ''', file_type: ''' || file_type || '''});' AS text FROM g_nodes
+UNION ALL SELECT 'MATCH (a:Node {id: ''' || source || '''}), (b:Node {id: ''' || target || '''}) CREATE (a)-[:' || upper(relation) || ']->(b);' FROM g_edges""")
+def cypher_lines(spark, d):
+    from arborlake.sinks.writers import cypher
+
+    return cypher(trade_graph(spark, d)).select("text")
+
+
+@query("""WITH $T, p AS (SELECT string_split(source_file, '/') AS parts FROM g_nodes), x AS (SELECT unnest(range(1, len(parts) + 1)) AS depth, parts FROM p)
+SELECT array_to_string(parts[1:depth], '/') AS folder, depth::INTEGER AS depth, parts[depth] AS name, count(*) AS total FROM x GROUP BY 1, 2, 3""")
+def tree_folders(spark, d):
+    from arborlake.sinks.writers import tree
+
+    return tree(trade_graph(spark, d).nodes).where("kind = 'folder'").select("folder", "depth", "name", "total")
+
+
+@query("""WITH $T, old AS (SELECT * FROM g_edges WHERE target NOT LIKE '%7'), new AS (SELECT * FROM g_edges WHERE target NOT LIKE '%3') SELECT 'edge_added' AS type, count(*) AS n FROM (SELECT source, target, relation FROM new EXCEPT SELECT source, target, relation FROM old)
+UNION ALL SELECT 'edge_removed', count(*) FROM (SELECT source, target, relation FROM old EXCEPT SELECT source, target, relation FROM new) UNION ALL SELECT 'node_added', count(*) FROM g_nodes WHERE file_type = 'module'""")
+def change_feed(spark, d):
+    from arborlake.streaming.changes import change_events
+
+    g = trade_graph(spark, d)
+    old, new = _snapshots(g)
+    return change_events(Graph(g.nodes.where("file_type != 'module'"), old), Graph(g.nodes, new)).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("""WITH e AS (SELECT ts, event_type, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) < 30000000 THEN 0 ELSE 1 END AS s FROM events WHERE event_id < 500),
+g AS (SELECT *, sum(s) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT min(ts) AS first_ts, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM g GROUP BY g""")
+def quiet_batches(spark, d):
+    from arborlake.streaming.changes import quiet_batches as batches
+
+    e = table(spark, d, "events").where("event_id < 500").select("ts", F.col("event_type").alias("path"))
+    return batches(e, "30 seconds").select("first_ts", F.array_join("paths", ",").alias("paths"))
+
+
+@query("""WITH p AS (SELECT url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/:?#]+') AND NOT regexp_matches(url, '(?i)^https?://(localhost|10\\.|127\\.|192\\.168\\.)'))
+SELECT url, title FROM p""")
+def page_titles(spark, d):
+    pages = table(spark, d, "pages")
+    return pages.where(paths.is_public_url(F.col("url"))).select("url", text.html_title(F.col("html")).alias("title"))
+
+
+@query()
+def web_documents(spark, d):
+    from arborlake.sources.graphs import web_pages
+
+    return web_pages(table(spark, d, "pages"))
+
+
+@query()
+def resolve_tool(spark, d):
+    from arborlake.plans import tools
+
+    return tools.resolve(trade_graph(spark, d), "small ring", 5)
+
+
+@query()
+def query_graph_tool(spark, d):
+    from arborlake.plans import tools
+
+    return tools.query_graph(trade_graph(spark, d), "which nation imports region", 1, 400)
+
+
+@query()
+def wiki_pages(spark, d):
+    from arborlake.sinks.writers import wiki
+
+    return wiki(_with_part_communities(trade_graph(spark, d)))
+
+
+@query()
+def label_embeddings(spark, d):
+    g = trade_graph(spark, d)
+    embed = vectors.label_vectors(32)
+    return g.nodes.where("file_type = 'module'").select("id", embed(text.label_tokens(F.col("label"))).alias("vector"))
