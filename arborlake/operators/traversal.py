@@ -171,7 +171,7 @@ def depth_first(graph: Graph, start: str, depth: int, hub_threshold: int | None
                 stack += [(n, d + 1) for n in near.get(node, ())]
         return pd.DataFrame(order, columns=["place", "id", "depth"])
 
-    return edges.union(stop).groupBy(F.lit(1)).applyInPandas(lambda pdf: walk(pdf), "place long, id string, depth long")
+    return edges.union(stop).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(walk, "place long, id string, depth long")
 
 
 def tree_walk(graph: Graph, root: str, depth: int = 3) -> DataFrame:
