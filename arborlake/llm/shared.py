@@ -2,45 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[object, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        context = spark.sparkContext
-        place = context.getCheckpointDir()
-        if not place:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
-            place = context.getCheckpointDir()
-    return place.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, reread: it cuts lineage, survives executors and is removed at exit."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session may have ended before the process does
-            return
+from arborlake.storage import shared_dir, written
+
+__all__ = ["shared_dir", "table", "text_key", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
