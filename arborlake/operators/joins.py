@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import text
 from arborlake.functions.paths import suffix_match
 from arborlake.graph import Graph
+from arborlake.storage import written
 
 # Relations of callers and of type hierarchies.
 CALLER_RELATIONS = ["calls", "uses", "invokes"]
@@ -101,7 +102,7 @@ def export_closure(exports: DataFrame, stars: DataFrame, rounds: int = 32) -> Da
         starred = stars.join(k, "from_module").select("module", F.col("from_name").alias("name"), "origin", "origin_name")
         new = named.select("*", F.lit(0).alias("rank")).union(starred.select("*", F.lit(1).alias("rank")))
         new = new.groupBy("module", "name").agg(F.min(F.struct("rank", "origin", "origin_name")).alias("x")).select("module", "name", "x.origin", "x.origin_name")
-        new = new.join(known, ["module", "name"], "left_anti").checkpoint()
+        new = written(new.join(known, ["module", "name"], "left_anti"), "exports")
         if new.isEmpty():
             break
         known = known.unionByName(new)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -97,7 +96,7 @@ def hourly_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_stream(spark, sf_dir)
     rolled = events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     shaped = rolled.select(F.col("w.start").alias("hour"), "event_type", "n", "total")
-    base = shared_dir(spark) if not shared_dir(spark).startswith("file:/tmp/arborlake") else tempfile.mkdtemp(prefix="arborlake-stream-")
+    base = shared_dir(spark)
     name = f"rollup-{uuid.uuid4().hex}"
     out = f"{base}/{name}"
     run = (

@@ -118,7 +118,6 @@ def test_model_answers(spark):
 def test_export_chains(spark):
     from arborlake.operators.joins import export_closure
 
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getCheckpointDir() or "/tmp/arborlake-test-checkpoint")
     exports = spark.createDataFrame([("m", "f", None, None), ("n", "g", "m", "f"), ("p", "h", "q", "h"), ("q", "h", "p", "h")], "module string, name string, from_module string, from_name string")
     stars = spark.createDataFrame([("o", "n")], "module string, from_module string")
     got = {(r["module"], r["name"]): (r["origin"], r["origin_name"]) for r in export_closure(exports, stars).collect()}
