@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _written: list[tuple[object, str]] = []
 
@@ -32,6 +32,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates of the rows that are taken while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, *[c.alias(n) for n, c in measures.items()]), name)
+    return table, seen.get
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
