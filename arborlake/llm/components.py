@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import written
+from arborlake.llm.shared import measured, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -21,13 +21,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
         least = both.groupBy(F.col("hi").alias("at")).agg(F.min(F.least("hi", "lo")).alias("to"))
         large = both.join(least, F.col("hi") == F.col("at")).where("lo > hi and lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo")).distinct()
-        large = written(large, "links")
         down = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("to"))
         small = large.join(down, F.col("hi") == F.col("at")).where("lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo"))
-        now = written(small.union(down.select("at", "to")).distinct(), "links")
-        row = now.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if tuple(row) == mark:
+        links = F.struct("hi", "lo")
+        now, seen = measured(small.union(down.select("at", "to")).distinct(), "links", n=F.count("*"), sum=F.sum(F.xxhash64(links).cast("decimal(38,0)")))
+        if seen == mark or not seen["n"]:
             break
-        mark = tuple(row)
+        mark = seen
     tops = now.select(F.col("lo").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(tops)

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import text_key, written
+from arborlake.llm.shared import measured, text_key, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
@@ -65,9 +65,9 @@ def demand(docs: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
     start: words of the source before the row, in its hash order.
     """
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select("doc_id", text_key().alias("text_key"), "source", size.alias("size")), "mix-sizes")
+    sizes, seen = measured(docs.select("doc_id", text_key().alias("text_key"), "source", size.alias("size")), "mix-sizes", n=F.count("*"))
     digits = 1
-    while sizes.count() > ROWS_PER_BUCKET * 16**digits:
+    while seen["n"] > ROWS_PER_BUCKET * 16**digits:
         digits += 1
     targets = written(source_targets(sizes, max_repeats), "mix-targets")
     ident = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string"))
@@ -139,9 +139,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
         F.struct("doc_id", "source", "text_key").alias("__m_row"), F.col("hash").alias("__m_hash"), F.col("position").alias("__m_at"),
         F.when((F.col("instance") == F.col("whole")), F.col("part")).alias("__m_part"), F.col("copies").alias("__m_copies"),
     )
-    plan = written(plan, "mix-plan")
+    plan, seen = measured(plan, "mix-plan", most=F.max("__m_copies"))
     keyed = docs.withColumn("__m_key", text_key())
-    if plan.where("__m_copies > 1").limit(1).count():  # a repeated row meets its plan once
+    if (seen["most"] or 0) > 1:  # a repeated row meets its plan once
         keyed = keyed.dropDuplicates(["doc_id", "source", "__m_key"])
     row = F.col("__m_row")
     joined = keyed.join(plan, F.col("doc_id").eqNullSafe(row["doc_id"]) & F.col("source").eqNullSafe(row["source"]) & (F.col("__m_key") == row["text_key"]))

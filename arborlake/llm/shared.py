@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.storage import shared_dir, written
+from arborlake.storage import measured, shared_dir, written
 
-__all__ = ["shared_dir", "table", "text_key", "written"]
+__all__ = ["measured", "shared_dir", "table", "text_key", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.components import connected_components
-from arborlake.llm.shared import text_key, written
+from arborlake.llm.shared import measured, text_key, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -157,9 +157,9 @@ def _links(radius: int):
     return run
 
 
-def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """a, b: a spanning forest, bucket by bucket, of the links between the different fingerprints in column fp."""
-    masks = block_keys(values.count(), radius)
+def fingerprint_links(values: DataFrame, count: int, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """a, b: a spanning forest, bucket by bucket, of the links between the ``count`` different fingerprints in column fp."""
+    masks = block_keys(count, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = values.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("mask", "key"))
     sizes = keyed.groupBy(F.col("mask").alias("s_mask"), F.col("key").alias("s_key")).agg(F.count("*").alias("n")).where("n > 1")
@@ -175,8 +175,8 @@ def fingerprint_links(values: DataFrame, radius: int = RADIUS, tile: int = TILE)
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
     prints = written(fingerprints(docs), "fingerprints")
-    values = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values")
-    roots = connected_components(fingerprint_links(values.select("fp"), radius))
+    values, seen = measured(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values", n=F.count("*"))
+    roots = connected_components(fingerprint_links(values.select("fp"), seen["n"], radius))
     named = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.select(F.col("fp").alias("c_fp"), F.col("root").alias("c_root")).join(
@@ -193,9 +193,9 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs`` with the smallest doc_id of their component, one row each; all columns stay."""
     found = near_duplicates(docs, radius)
     best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best = written(best.groupBy("doc_id").agg(F.min("text_key").alias("key"), F.count("*").alias("rows")), "kept")
+    best, seen = measured(best.groupBy("doc_id").agg(F.min("text_key").alias("key"), F.count("*").alias("rows")), "kept", most=F.max("rows"))
     keyed = docs.withColumn("__s_key", text_key())
     kept = keyed.join(best.select(F.col("doc_id").alias("__s_id"), "key"), F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.col("__s_key") == F.col("key")), "left_semi")
-    if best.where("rows > 1").limit(1).count():
+    if (seen["most"] or 0) > 1:
         kept = kept.dropDuplicates(["doc_id", "__s_key"])
     return kept.select(*docs.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import written
+from arborlake.llm.shared import measured
 
 SCALE = 1024
 SHARD = 16_384
@@ -126,9 +126,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE)
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     sound = vectors.where(finite & (F.size("embedding") > 0) & F.col("vec_id").isNotNull())
     rows = sound.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("x"), F.coalesce(queries, F.lit(False)).alias("query"))
-    rows = written(rows.dropDuplicates(["vec_id", "x"]), "quantised")
-    seen = rows.agg(F.count("*"), F.count_if("query")).first()
-    shards, blocks = max(1, -(-seen[0] // SHARD)), max(1, -(-seen[1] // BLOCK))
+    rows, seen = measured(rows.dropDuplicates(["vec_id", "x"]), "quantised", rows=F.count("*"), queries=F.count_if("query"))
+    shards, blocks = max(1, -(-seen["rows"] // SHARD)), max(1, -(-seen["queries"] // BLOCK))
     many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64(F.lit(11), "vec_id", "x"), F.lit(n)).cast("int")
     candidates = rows.select(F.lit(False).alias("asked"), "vec_id", "x", F.size("x").alias("size"), deal(shards).alias("shard"), many(blocks).alias("block"))

@@ -60,7 +60,7 @@ def test_tiles_give_the_same_links(spark):
     base = rnd.integers(-(2**62), 2**62, 40)
     values = np.unique(np.concatenate([base ^ (1 << b) for b in range(20)]))
     df = spark.createDataFrame([(int(v),) for v in values], "fp long")
-    roots = [{r["node"]: r["root"] for r in connected_components(simhash.fingerprint_links(df, tile=t)).collect()} for t in (5, 512)]
+    roots = [{r["node"]: r["root"] for r in connected_components(simhash.fingerprint_links(df, len(values), tile=t)).collect()} for t in (5, 512)]
     assert roots[0] == roots[1] and len(roots[0]) > 500
 
 
