@@ -169,7 +169,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
         chance = F.pmod(F.xxhash64(F.lit(9), "class"), F.lit(1_000_000)) / F.lit(1_000_000.0)
         own = F.concat_ws("/", F.col("label").cast("string"), F.size("vector").cast("string"))
         chosen = classes.where(chance < F.coalesce(F.element_at(share, own), F.lit(0.0))).select("class", "label", "vector")
-        chosen = chosen.limit(2 * CENTROIDS * SAMPLE_PER_CENTROID).toArrow().sort_by("class")
+        chosen = chosen.orderBy("class").limit(2 * CENTROIDS * SAMPLE_PER_CENTROID).toArrow()
         sample: dict = {}
         for label, v in zip(chosen.column("label").to_pylist(), chosen.column("vector").to_pylist()):
             sample.setdefault((label, len(v)), []).append(v)

@@ -145,8 +145,9 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Model:
     share = F.create_map([F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["count"]))])
     order = F.xxhash64(F.lit(5), "doc_id", "text")
     chance = F.pmod(order, F.lit(1_000_000)) / F.lit(1_000_000.0)
-    chosen = usable.where(chance < F.element_at(share, F.col("lang"))).select(order.alias("ord"), "lang", "text").limit(2 * rows)
-    found = chosen.mapInArrow(_counts, "ord long, lang string, at array<short>, number array<int>").toArrow().sort_by([("ord", "ascending"), ("lang", "ascending")])
+    chosen = usable.where(chance < F.element_at(share, F.col("lang"))).select(order.alias("ord"), "lang", "text")
+    counted = chosen.mapInArrow(_counts, "ord long, lang string, at array<short>, number array<int>")
+    found = counted.orderBy("ord", "lang").limit(2 * rows).toArrow()  # a bound whatever the copies in the data
     names = sorted(set(found.column("lang").to_pylist()))
     y = np.array([names.index(x) for x in found.column("lang").to_pylist()], dtype=np.int64)
     pairs = [(np.array(a, dtype=np.int64), np.array(n, dtype=np.float64)) for a, n in zip(found.column("at").to_pylist(), found.column("number").to_pylist())]
