@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm import pretokens
+from arborlake.llm.shared import slices
 
 VOCABULARY = "byte_bpe_50k.json"
-STORE = 300_000
+STORE = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -204,7 +205,7 @@ def encode_and_decode(docs: DataFrame, name: str = VOCABULARY, keep: bool = Fals
     fields += [("ids", "array<int>"), ("decoded", "string")] if keep else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, again, kept, texts = [], [], [], [], []
             for ids in encode(batch.column(1).to_pylist(), name):
                 text = decode(ids, name)

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-PIECE = 1 << 20
+PIECE = 1 << 19
 LETTER, CAPITAL, DIGIT, SPACE, SIGN = 1, 2, 4, 8, 16
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import features
 from arborlake.llm.training import remainder
+from arborlake.llm.shared import slices
 
 SAMPLE = 6_000
 WIDTH = 1 << 14
@@ -124,7 +125,7 @@ class Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         at, number = [], []
         for run in features.pieces(batch.column(2).to_pylist()):
             for found in buckets(run):
@@ -159,7 +160,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = [], [np.empty(0)]
             for texts in features.pieces(batch.column(2).to_pylist()):
                 n, s = model.predict(texts)

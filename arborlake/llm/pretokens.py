@@ -18,7 +18,7 @@ import regex
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 #: A code point that no text has; it stands for the special string.
 MARK = 0x110000
-CHARS = 1 << 20
+CHARS = 1 << 19
 GROUP = 6
 
 

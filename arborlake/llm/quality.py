@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import features
 from arborlake.llm.training import held_in_labels, remainder
+from arborlake.llm.shared import slices
 
 SAMPLE = 12_000
 SHRINK_POOLED, SHRINK_IDENTITY = 0.8, 0.1
@@ -120,7 +121,7 @@ class Discriminant:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [statistics(run) for run in features.pieces(batch.column(1).to_pylist())]
         x = np.concatenate(rows) if rows else np.empty((0, len(STATISTICS)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
@@ -139,7 +140,7 @@ def score(docs: DataFrame, model: Discriminant, threshold: float = THRESHOLD) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [model.score(statistics(texts)) for texts in features.pieces(batch.column(2).to_pylist())]
             s = np.concatenate(rows) if rows else np.empty(0)
             yield pa.RecordBatch.from_arrays(

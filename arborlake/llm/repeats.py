@@ -33,11 +33,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import text_key, written
+from arborlake.llm.shared import slices, text_key, written
 
 LENGTH = 400
 GRAM = 8
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def sample_window(length: int) -> int:
@@ -112,7 +112,7 @@ def shard_transforms(docs: DataFrame, length: int) -> DataFrame:
     """core, suffixes, low, high: each shard's sorted samples, run-length coded, with the least and greatest context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for _, texts in _runs(_texts(batch.column(0))):
                 _, _, _, cores, contexts = suffixes(texts, length)
                 order = np.lexsort((contexts, cores))
@@ -132,7 +132,7 @@ def shard_suffixes(docs: DataFrame, length: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for at, texts in _runs(_texts(batch.column(2))):
                 own, first, span, cores, contexts = suffixes(texts, length)
                 take = pa.array(own + at)
@@ -154,7 +154,7 @@ def windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
+        for batch in slices(batches):
             own, place, alone, digests = [], [], [], []
             for i, (text, firsts, spans, alones) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
                 view = memoryview(text.encode())
@@ -228,7 +228,7 @@ def op10(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     joined = _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "__r_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
                 runs = merged(spans or [])
@@ -249,7 +249,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     at, columns = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, stay = [], []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
                 left = text if spans is None else kept(text.encode(), merged(spans)).decode("utf-8", "ignore")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborlake.llm.components import connected_components
-from arborlake.llm.shared import measured, text_key, written
+from arborlake.llm.shared import measured, slices, text_key, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             prints = pa.array([fingerprint(t.as_py()) for t in batch.column(2)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), prints], names=["doc_id", "text_key", "fp"])
 

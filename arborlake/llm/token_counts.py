@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arborlake.llm import bpe, pretokens
+from arborlake.llm.shared import slices
 
 LIMIT = 512
 
@@ -131,7 +132,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = bpe.VOCABULARY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, store = bpe.vocabulary(name), counter(name)
-        for batch in batches:
+        for batch in slices(batches):
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
             sums = [np.empty(0, np.int64)]
             for group in pretokens.splits(texts, vocab.special):

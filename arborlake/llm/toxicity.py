@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from arborlake.llm import features
 from arborlake.llm.training import held_in_labels, remainder
+from arborlake.llm.shared import slices
 
 SAMPLE = 24_000
 LEXICON = 3_000
@@ -244,7 +245,7 @@ class Model:
 
 def _unit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """unit, toxic, clean: how many texts of each class hold the unit."""
-    for batch in batches:
+    for batch in slices(batches):
         labels = np.array(batch.column(0).to_pylist(), dtype=np.int64)
         at = 0
         for run in features.pieces(batch.column(1).to_pylist()):
@@ -275,7 +276,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     lexicon = Lexicon(found["unit"].to_numpy(dtype=np.int64).view(np.uint64), weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [vectors(texts, lexicon) for texts in features.pieces(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r for v in x for r in v], pa.list_(pa.float64()))], names=["label", "part", "x"])
 
@@ -291,7 +292,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [model.score(texts) for texts in features.pieces(batch.column(2).to_pylist())]
             s = np.concatenate(parts) if parts else np.empty(0)
             yield pa.RecordBatch.from_arrays(
@@ -313,7 +314,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [model.score(texts) for texts in features.pieces(batch.column(at).to_pylist())]
             yield batch.filter(pa.array(np.concatenate(parts) < threshold if parts else np.empty(0, bool)))
 
