@@ -19,7 +19,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.union(now.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = both.groupBy(F.col("hi").alias("at")).agg(F.min(F.least("hi", "lo")).alias("to"))
+        # a table of its own, so that the join below can split a hub
+        least = written(both.groupBy(F.col("hi").alias("at")).agg(F.min(F.least("hi", "lo")).alias("to")), "least")
         large = both.join(least, F.col("hi") == F.col("at")).where("lo > hi and lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo")).distinct()
         down = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("to"))
         small = large.join(down, F.col("hi") == F.col("at")).where("lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo"))

@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     whole = split.join(shared, (F.col("core") == F.col("c_core")) & (F.col("context") == F.col("c_context"))).select(*cut)
     asked = contexts.select("one.*", (F.col("n") == 1).alias("alone"))
     bytewise = written(windows(docs, asked, length), "windows")
-    twice = bytewise.groupBy(F.col("digest").alias("d_digest")).agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(bytewise.groupBy(F.col("digest").alias("d_digest")).agg(F.count("*").alias("n")).where("n > 1"), "twice")
     partly = bytewise.where("alone").join(twice, F.col("digest") == F.col("d_digest")).select(
         "doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + length).alias("hi")
     )
