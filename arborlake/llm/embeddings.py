@@ -192,10 +192,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     named = classes.select("class", "first", "copies").join(roots, F.col("class") == F.col("node"), "left").withColumn("root", F.coalesce("root", "class"))
     smallest = named.groupBy(F.col("root").alias("s_root")).agg(F.min("first").alias("component"))
     final = named.join(smallest, F.col("root") == F.col("s_root")).join(counts, F.col("class") == F.col("n_class"), "left")
-    final = final.select(F.col("class").alias("f_class"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    joined = keyed.join(final, F.col("class") == F.col("f_class"), "left")
-    component = F.coalesce("component", "vec_id")
-    return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    final = final.select(F.col("class").alias("f_class"), "component", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    # a table of its own, so that the join can split a vector with many copies; rows without a class have no part in it
+    final = written(final, "final")
+    linked = keyed.join(final, F.col("class") == F.col("f_class")).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    alone = keyed.where("class is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op1(vectors: DataFrame) -> DataFrame:
