@@ -18,7 +18,6 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
