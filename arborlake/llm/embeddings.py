@@ -146,8 +146,9 @@ def _products(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: float | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``vectors`` (vec_id, embedding, label)."""
-    narrow = vectors.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("vector"), "label")
-    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vector", lambda v: v != 0)
+    narrow = vectors.select("vec_id", F.col("embedding").alias("vector"), "label")  # as stored; products are of doubles
+    finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) != float("inf")))
+    finite = finite & F.exists("vector", lambda v: v != 0)
     sound = F.coalesce(finite & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("vector") > 0), F.lit(False))
     rows = narrow.withColumn("sound", sound)
     name = F.xxhash64("label", "vector")
@@ -175,9 +176,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
             sample.setdefault((label, len(v)), []).append(v)
         centres = {k: spherical_kmeans(unit(v), min(wanted[k], len(v))) for k, v in sample.items() if len(v) > 1}
     reach = float(np.sqrt(2 - 2 * threshold)) if margin is None else margin
-    kind = classes.schema["label"].dataType.simpleString()
+    kind, vector = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
     placed = classes.select("class", "label", "vector", "copies").mapInArrow(
-        _cells(centres, reach), f"class long, label {kind}, size int, cell int, own int, copies long, vector array<double>"
+        _cells(centres, reach), f"class long, label {kind}, size int, cell int, own int, copies long, vector {vector}"
     )
     placed = written(placed, "cells")
     full = placed.groupBy(F.col("label").alias("c_label"), F.col("size").alias("c_size"), F.col("cell").alias("c_cell")).agg(F.ceil(F.count("*") / TILE).alias("tiles"))
