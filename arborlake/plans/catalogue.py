@@ -397,10 +397,10 @@ def bm25_score(spark, d):
     return search.bm25(table(spark, d, "documents"), BM25_TERMS, "doc_id", "text")
 
 
-@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 20")
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 8) AS score FROM embeddings WHERE vec_id <> 0 ORDER BY list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)) DESC, vec_id LIMIT 20")
 def dense_cosine_topk(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return analytics.similar(e, 0, 20).select(F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
+    return analytics.similar(e, 0, 20).select(F.col("id").alias("vec_id"), "score")
 
 
 RRF_SQL = f"""{BM25_SQL}, c AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 8) AS score FROM embeddings),
