@@ -172,12 +172,17 @@ def fingerprint_links(values: DataFrame, count: int, radius: int = RADIUS, tile:
     return dealt.mapInArrow(_links(radius), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
+def rooted(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, fp for each row, and fp, first, root for each fingerprint: the smallest doc_id on it and its component's root, never null."""
     prints = written(fingerprints(docs), "fingerprints")
     values, seen = measured(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values", n=F.count("*"))
     roots = connected_components(fingerprint_links(values.select("fp"), seen["n"], radius))
-    named = values.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
+    prints, named = rooted(docs, radius)
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = named.select(F.col("fp").alias("c_fp"), F.col("root").alias("c_root")).join(
         smallest.withColumnRenamed("root", "s_root"), F.col("c_root") == F.col("s_root")
@@ -190,12 +195,14 @@ def op7(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of their component, one row each; all columns stay."""
-    found = near_duplicates(docs, radius)
-    best = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    best, seen = measured(best.groupBy("doc_id").agg(F.min("text_key").alias("key"), F.count("*").alias("rows")), "kept", most=F.max("rows"))
+    """One row of ``docs`` for each component, whatever its ids: that of the smallest doc_id, null last, then of the smallest text key; all columns stay."""
+    prints, named = rooted(docs, radius)
+    found = prints.join(named.select(F.col("fp").alias("c_fp"), "root"), F.col("fp") == F.col("c_fp"))
+    each = found.groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "rows")).alias("best"))
+    best, seen = measured(best.select(F.col("best.doc_id").alias("__s_id"), F.col("best.text_key").alias("key"), F.col("best.rows").alias("rows")), "kept", most=F.max("rows"))
     keyed = docs.withColumn("__s_key", text_key())
-    kept = keyed.join(best.select(F.col("doc_id").alias("__s_id"), "key"), F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.col("__s_key") == F.col("key")), "left_semi")
+    kept = keyed.join(best.select("__s_id", "key"), F.col("doc_id").eqNullSafe(F.col("__s_id")) & (F.col("__s_key") == F.col("key")), "left_semi")
     if (seen["most"] or 0) > 1:
         kept = kept.dropDuplicates(["doc_id", "__s_key"])
     return kept.select(*docs.columns)

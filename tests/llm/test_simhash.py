@@ -80,6 +80,14 @@ def test_one_of_each_keeps_columns_and_single_rows(spark, documents):
     assert sorted(map(str, (r["doc_id"] for r in kept.collect()))) == ["1", "3", "None"]
 
 
+def test_one_of_each_keeps_a_row_of_every_component(spark, documents):
+    rnd = random.Random(5)
+    texts = [" ".join("w%d" % rnd.randrange(9000) for _ in range(60)) for _ in range(5)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[3]), (None, texts[4]), (7, texts[4])]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.one_of_each(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (7, texts[4])], key=str)
+
+
 def test_empty(spark, documents):
     assert simhash.op7(documents([])).count() == 0
     assert simhash.one_of_each(documents([])).count() == 0
