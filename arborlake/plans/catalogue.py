@@ -465,7 +465,11 @@ def seed_resolution(spark, d):
 @query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)) AS s FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey < 60 AND b.p_partkey < 60 WHERE jaro_similarity(lower(a.p_name), lower(b.p_name)) > 0.72)
 SELECT a, b, round(s, 6) AS score FROM p""")
 def jaro_winkler_pairs(spark, d):
-    p = table(spark, d, "part").where("p_partkey < 60").select("p_partkey", "p_name")
+    return _alike_parts(table(spark, d, "part").where("p_partkey < 60"))
+
+
+def _alike_parts(parts: DataFrame) -> DataFrame:
+    p = parts.select("p_partkey", "p_name")
     pairs = p.alias("x").join(p.alias("y"), F.col("x.p_partkey") < F.col("y.p_partkey"))
     s = pairs.select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), F.col("x.p_name").alias("p"), F.col("y.p_name").alias("q"), vectors.jaro_winkler("x.p_name", "y.p_name").alias("s"))
     n = F.lit(0)
@@ -475,6 +479,11 @@ def jaro_winkler_pairs(spark, d):
     return s.where(jaro > 0.72).select("a", "b", F.round("s", 6).alias("score"))
 
 
+@query(SQL["jaro_winkler_pairs"].replace(" AND a.p_partkey < 60 AND b.p_partkey < 60", ""))
+def jaro_winkler_pairs_all(spark, d):
+    return _alike_parts(table(spark, d, "part"))
+
+
 # ---- walks and structure
 
 
@@ -724,6 +733,14 @@ def quiet_batches(spark, d):
     return batches(e, "30 seconds").select("first_ts", F.array_join("paths", ",").alias("paths"))
 
 
+@query(SQL["quiet_batches"].replace(" WHERE event_id < 500", "").replace("OVER (ORDER BY ts ROWS", "OVER (ORDER BY ts, event_id ROWS").replace("SELECT ts, event_type, CASE", "SELECT ts, event_id, event_type, CASE"))
+def quiet_batches_all(spark, d):
+    from arborlake.streaming.changes import quiet_batches as batches
+
+    e = table(spark, d, "events").select("ts", F.col("event_type").alias("path"))
+    return batches(e, "30 seconds").select("first_ts", F.array_join("paths", ",").alias("paths"))
+
+
 @query("""WITH p AS (SELECT url, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title FROM pages WHERE regexp_matches(url, '(?i)^https?://[^/:?#]+') AND NOT regexp_matches(url, '(?i)^https?://(localhost|10\\.|127\\.|192\\.168\\.)'))
 SELECT url, title FROM p""")
 def page_titles(spark, d):
