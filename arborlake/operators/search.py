@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import paths, text
 from arborlake.functions.vectors import cosine
 from arborlake.graph import Graph
+from arborlake.storage import written
 
 # BM25 and reciprocal rank fusion.
 K1, B, RRF = 1.2, 0.75, 60
@@ -70,14 +71,20 @@ def dense(vectors: DataFrame, query: list[float], id_: str = "id", vector: str =
 
 
 def ranked(scores: DataFrame, most: int | None = None) -> DataFrame:
-    """id, place from 0 by descending score, ties by id. With ``most`` the list is cut before it is numbered."""
+    """id, place from 0 by descending score, ties by id. With ``most`` the list is cut before it is numbered; whole lists are numbered range by range."""
+    order = [F.desc("score"), F.col("id")]
     if most:
-        scores = scores.orderBy(F.desc("score"), "id").limit(most)
-    return scores.select("id", (F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1).alias("place"))
+        scores = scores.orderBy(*order).limit(most)
+        return scores.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias("place"))
+    dealt = written(scores.select("id", "score").repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"))
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1
+    return dealt.withColumn("inside", inside).join(before, "range").select("id", (F.col("before") + F.col("inside")).alias("place"))
 
 
-def fused(*lists: DataFrame, most: int = 1000) -> DataFrame:
-    """id, score: the sum of 1 / (60 + place + 1) over the lists' first ``most`` places."""
+def fused(*lists: DataFrame, most: int | None = None) -> DataFrame:
+    """id, score: the sum of 1 / (60 + place + 1) over the whole lists, or over their first ``most`` places."""
     rows = [ranked(x, most) for x in lists]
     every = rows[0]
     for r in rows[1:]:

@@ -408,10 +408,10 @@ r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM bm WH
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + p + 1)), 10) AS score FROM r GROUP BY id)"""
 
 
-def _fused(spark, d) -> DataFrame:
+def _fused(spark, d, most: int | None = 200) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 3").first()["embedding"]]
-    return search.fused(bm25_score(spark, d), search.dense(e, q, "vec_id", "embedding"), most=200)
+    return search.fused(bm25_score(spark, d), search.dense(e, q, "vec_id", "embedding"), most=most)
 
 
 @query(f"WITH {RRF_SQL} SELECT id, score FROM fused")
@@ -424,10 +424,10 @@ a AS (SELECT id, score, label, source_file, row_number() OVER (PARTITION BY sour
 adjusted AS (SELECT id, round(score * CASE WHEN contains(source_file, '/tests/') THEN 0.05 ELSE 1 END::DOUBLE * CASE WHEN contains(lower(label), 'the') OR contains(lower(label), 'tion') THEN 1.5 ELSE 1 END::DOUBLE * pow(0.5, k), 10) AS score FROM a)"""
 
 
-def _adjusted(spark, d) -> DataFrame:
+def _adjusted(spark, d, most: int | None = 200) -> DataFrame:
     docs = table(spark, d, "documents")
     file = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("a/tests/"), "source")).otherwise(F.col("source"))
-    return search.adjusted(_fused(spark, d), docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("label"), file.alias("source_file")), ["the", "tion"])
+    return search.adjusted(_fused(spark, d, most), docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("label"), file.alias("source_file")), ["the", "tion"])
 
 
 @query(f"WITH {ADJUST_SQL} SELECT id, score FROM adjusted")
@@ -440,6 +440,21 @@ def seed_cut(spark, d):
     return search.seeds(_adjusted(spark, d), 8, 0.2)
 
 
+@query(SQL["rrf_fused"].replace(" QUALIFY p < 200", ""))
+def rrf_fused_all(spark, d):
+    return _fused(spark, d, None)
+
+
+@query(SQL["score_adjusted"].replace(" QUALIFY p < 200", ""))
+def score_adjusted_all(spark, d):
+    return _adjusted(spark, d, None)
+
+
+@query(SQL["seed_cut"].replace(" QUALIFY p < 200", ""))
+def seed_cut_all(spark, d):
+    return search.seeds(_adjusted(spark, d, None), 8, 0.2)
+
+
 @query("""WITH $T, t AS (SELECT id, label, ord, CASE WHEN lower(label) = 'small ring' THEN 0 WHEN starts_with(lower(label), 'small ring') THEN 1 WHEN contains(lower(label), 'small ring') THEN 2 END AS tier FROM g_nodes)
 SELECT id, label, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 20""")
 def find_node_tiers(spark, d):

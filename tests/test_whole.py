@@ -18,3 +18,14 @@ def test_pairs_and_batches_of_whole_tables(spark):
     newest = table(spark, DATA, "events").agg(F.max("ts")).first()[0]
     last = catalogue.QUERIES["quiet_batches_all"](spark, DATA).agg(F.max("first_ts")).first()[0]
     assert (newest - last).total_seconds() < 86400
+
+
+def test_whole_lists_are_fused(spark):
+    first = [(i, float(i * 7919 % 1501)) for i in range(1500)]
+    second = [(i, float(i % 10)) for i in range(700, 1400)]
+    want: dict[int, float] = {}
+    for scores in (first, second):
+        for place, (i, _) in enumerate(sorted(scores, key=lambda x: (-x[1], x[0]))):
+            want[i] = want.get(i, 0.0) + 1 / (61 + place)
+    got = search.fused(*[spark.createDataFrame(x, "id long, score double") for x in (first, second)]).collect()
+    assert {r["id"]: r["score"] for r in got} == {i: round(s, 10) for i, s in want.items()}
