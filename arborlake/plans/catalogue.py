@@ -612,7 +612,7 @@ def node2vec_similar(spark, d):
 
 @query()
 def fuzzy_dedup(spark, d):
-    return analytics.fuzzy_duplicates(trade_graph(spark, d).nodes.where("file_type = 'module' or file_type = 'class'"), 0.97)
+    return analytics.fuzzy_duplicates(trade_graph(spark, d).nodes, 0.97)
 
 
 # ---- sources
@@ -795,4 +795,4 @@ def wiki_pages(spark, d):
 def label_embeddings(spark, d):
     g = trade_graph(spark, d)
     embed = vectors.label_vectors(32)
-    return g.nodes.where("file_type = 'module'").select("id", embed(text.label_tokens(F.col("label"))).alias("vector"))
+    return g.nodes.select("id", embed(text.label_tokens(F.col("label"))).alias("vector"))

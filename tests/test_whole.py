@@ -29,3 +29,31 @@ def test_whole_lists_are_fused(spark):
             want[i] = want.get(i, 0.0) + 1 / (61 + place)
     got = search.fused(*[spark.createDataFrame(x, "id long, score double") for x in (first, second)]).collect()
     assert {r["id"]: r["score"] for r in got} == {i: round(s, 10) for i, s in want.items()}
+
+
+def test_fuzzy_duplicates_of_hot_files(spark):
+    rows = [(f"n{i}", f"Customer#{i * i:06d}" if i % 3 else f"other {i}", f"f{i % 2}", i % 4, i) for i in range(60)]
+    top = list(range(60))
+    for (i, a), (j, b) in combinations(enumerate(rows), 2):
+        x, y = a[1].lower(), b[1].lower()
+        variant = x != y and (x.startswith(y) or y.startswith(x))
+        if a[2] == b[2] and not variant and min(1.0, vectors.jaro_winkler_of(x, y) + 0.05 * (a[3] == b[3])) > 0.97:
+            old, new = max(top[i], top[j]), min(top[i], top[j])
+            top = [new if t == old else t for t in top]
+    want = {f"n{i}": f"n{t}" for i, t in enumerate(top) if i != t}
+    nodes = spark.createDataFrame(rows, "id string, label string, source_file string, community long, ord long")
+    for tile in (4, 512):
+        got = {r["id"]: r["first_id"] for r in analytics.fuzzy_duplicates(nodes, 0.97, tile).collect()}
+        assert want and got == want
+
+
+def test_label_queries_read_all_nodes(spark):
+    kinds = {r["id"].split(":")[0] for r in catalogue.QUERIES["fuzzy_dedup"](spark, DATA).collect()}
+    assert "customer" in kinds
+    nodes = trade_graph(spark, DATA).nodes
+    tokens = {r["id"]: r["t"] for r in nodes.select("id", text.label_tokens(F.col("label")).alias("t")).collect()}
+    got = {r["id"]: r["vector"] for r in catalogue.QUERIES["label_embeddings"](spark, DATA).collect()}
+    assert set(got) == set(tokens)
+    for i in sorted(tokens)[::40]:
+        mean = sum(vectors.token_vector(w, 32) for w in tokens[i]) / len(tokens[i])
+        assert max(abs(mean / (mean @ mean) ** 0.5 - got[i])) < 1e-9
