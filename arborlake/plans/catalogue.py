@@ -590,10 +590,14 @@ def bridges(spark, d):
     return analytics.bridges(g.with_edges(g.edges.where("source not like 'supplier:%'")))
 
 
+@query()
+def bridges_all(spark, d):
+    return analytics.bridges(trade_graph(spark, d))
+
+
 @query()
 def communities(spark, d):
-    g = trade_graph(spark, d)
-    return analytics.detected_communities(g.with_edges(g.edges.where("source not like 'supplier:%'")))
+    return analytics.detected_communities(trade_graph(spark, d))
 
 
 @query("WITH $T SELECT id, 'region:' || community AS component FROM g_nodes WHERE community IS NOT NULL")

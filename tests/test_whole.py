@@ -57,3 +57,28 @@ def test_label_queries_read_all_nodes(spark):
     for i in sorted(tokens)[::40]:
         mean = sum(vectors.token_vector(w, 32) for w in tokens[i]) / len(tokens[i])
         assert max(abs(mean / (mean @ mean) ** 0.5 - got[i])) < 1e-9
+
+
+def test_structure_of_the_whole_trade_graph(spark):
+    g = trade_graph(spark, DATA)
+    edges = [tuple(r) for r in g.edges.select("source", "target").distinct().collect()]
+    near: dict[str, set[str]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def cut(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            n = todo.pop()
+            for m in near[n] - seen:
+                if {n, m} != {a, b}:
+                    seen.add(m)
+                    todo.append(m)
+        return b not in seen
+
+    got = {tuple(r) for r in catalogue.QUERIES["bridges_all"](spark, DATA).collect()}
+    assert got == {e for e in edges if cut(*e)} and len(got) < len(edges)
+    found = {r["id"]: r["community"] for r in catalogue.QUERIES["communities"](spark, DATA).collect()}
+    assert set(found) == {r["id"] for r in g.nodes.select("id").collect()}
+    assert any(found[a] == found[b] for a, b in edges if a.startswith("supplier:") and b.startswith("part:"))
