@@ -368,6 +368,17 @@ def tokens_search(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("different"))
 
 
+@query(SQL["tokens_store"].replace(" WHERE lang = 'en'", ""))
+def tokens_store_all(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.store_tokens(F.col("text")).alias("tokens"))
+
+
+@query(SQL["tokens_search"].replace(" WHERE lang = 'en'", ""))
+def tokens_search_all(spark, d):
+    words = text.search_tokens(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("different"))
+
+
 TERMS = ["ring", "small", "bolt"]
 
 

@@ -82,3 +82,9 @@ def test_structure_of_the_whole_trade_graph(spark):
     found = {r["id"]: r["community"] for r in catalogue.QUERIES["communities"](spark, DATA).collect()}
     assert set(found) == {r["id"] for r in g.nodes.select("id").collect()}
     assert any(found[a] == found[b] for a, b in edges if a.startswith("supplier:") and b.startswith("part:"))
+
+
+def test_tokens_of_all_languages(spark):
+    ids = {r["doc_id"] for r in table(spark, DATA, "documents").select("doc_id").collect()}
+    for name in ("tokens_store_all", "tokens_search_all"):
+        assert {r["doc_id"] for r in catalogue.QUERIES[name](spark, DATA).collect()} == ids
