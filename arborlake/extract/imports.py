@@ -43,10 +43,12 @@ def script_candidates(path: Column, specifier: Column) -> Column:
 
 
 def aliased(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Imports with the longest matching alias put in place. aliases: prefix (may end in *), target."""
+    """Imports with the longest matching alias put in place. aliases: prefix (may end in *), target, as many as there are."""
     a = aliases.select(F.regexp_replace("prefix", r"\*$", "").alias("p"), F.regexp_replace("target", r"\*$", "").alias("t"), F.col("prefix").endswith("*").alias("wild"))
-    hit = imports.join(F.broadcast(a.limit(1000)), (F.col("wild") & F.col("specifier").startswith(F.col("p"))) | (F.col("specifier") == F.col("p")), "left")
-    best = hit.groupBy("path", "specifier").agg(F.max_by(F.struct("p", "t"), F.length("p")).alias("x"))
+    begins = F.transform(F.sequence(F.lit(0), F.length("specifier")), lambda n: F.substring(F.col("specifier"), F.lit(1), n))
+    each = imports.select("path", "specifier").distinct().select("*", F.explode_outer(begins).alias("begin"))
+    hit = each.join(a, (F.col("begin") == F.col("p")) & (F.col("wild") | (F.col("specifier") == F.col("p"))), "left")
+    best = hit.groupBy("path", "specifier").agg(F.max_by(F.struct("p", "t"), F.struct(F.length("p"), "t")).alias("x"))
     return best.select("path", "specifier", F.coalesce(F.concat(F.col("x.t"), F.expr("substring(specifier, length(x.p) + 1)")), "specifier").alias("wanted"))
 
 

@@ -30,3 +30,11 @@ def test_scripts_are_probed_in_order(spark):
     wanted = imports.aliased(asked, aliases).withColumn("candidates", imports.script_candidates(F.col("path"), F.col("wanted")))
     got = {r["specifier"]: r["target"] for r in imports.resolved(wanted, files).collect()}
     assert got == {"./a": "src/a.ts", "./lib": "src/lib/index.tsx", "./b.js": "src/b.js", "./none": None, "@/x": "app/x.ts"}
+
+
+def test_more_than_a_thousand_aliases(spark):
+    aliases = [(f"@p{i}/*", f"src/p{i}/*") for i in range(1500)] + [("@p7/deep/*", "deep/*"), ("exact", "src/exact")]
+    specifiers = [f"@p{i}/x" for i in range(1500)] + ["@p7/deep/y", "exact", "exact/more", "react", "", None]
+    asked = spark.createDataFrame([("a.ts", s) for s in specifiers], "path string, specifier string")
+    got = {r["specifier"]: r["wanted"] for r in imports.aliased(asked, spark.createDataFrame(aliases, "prefix string, target string")).collect()}
+    assert got == {**{f"@p{i}/x": f"src/p{i}/x" for i in range(1500)}, "@p7/deep/y": "deep/y", "exact": "src/exact", "exact/more": "exact/more", "react": "react", "": "", None: None}
