@@ -209,11 +209,17 @@ class Trees:
 
 
 def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the monotone fit of y on f by pooling adjacent violators; each pool keeps half a success and a failure apart from 0 and 1."""
-    order = np.argsort(f, kind="stable")
+    """Knots of the monotone fit of y on f by pooling adjacent violators.
+
+    Rows of one margin are one point before anything is pooled, so every margin has one value, the share of its rows
+    if it violates nothing. Each pool keeps a twentieth of a success and a failure apart from 0 and 1.
+    """
+    points, place = np.unique(f, return_inverse=True)
+    successes = np.bincount(place, y, len(points))
+    rows = np.bincount(place, minlength=len(points))
     pools: list[list[float]] = []
-    for v, label in zip(f[order].tolist(), y[order].tolist()):
-        pools.append([float(label), 1.0, v, v])
+    for v, s, n in zip(points.tolist(), successes.tolist(), rows.tolist()):
+        pools.append([s, n, v, v])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             s, n, _, hi = pools.pop()
             pools[-1][0] += s
@@ -221,8 +227,8 @@ def isotonic(f: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             pools[-1][3] = hi
     at, value = [], []
     for s, n, lo, hi in pools:
-        at += [lo, hi]
-        value += [(s + 0.05) / (n + 0.1)] * 2
+        at += [lo, hi] if lo < hi else [lo]
+        value += [(s + 0.05) / (n + 0.1)] * (2 if lo < hi else 1)
     return np.array(at), np.maximum.accumulate(np.array(value))
 
 
@@ -308,9 +314,10 @@ def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject; all columns stay."""
+    """The rows of ``docs`` that the classifier does not reject; all columns stay. A model that saw one class only rejects nothing."""
     model = fit(docs.select("doc_id", "text"), labels)
-
+    if not model.fitted:
+        return docs
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

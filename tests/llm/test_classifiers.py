@@ -79,3 +79,41 @@ def test_toxic_documents_go_and_columns_stay(spark, documents, tables):
     docs, labels = tables
     kept = toxicity.not_toxic(docs, labels)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+
+
+def test_rows_of_one_margin_have_one_value():
+    """5,000 clean rows and one toxic row share a margin: the contradicting label is one in 5,001 there."""
+    f = np.array([-4.0] * 5001 + [4.0] * 500)
+    y = np.array([0] * 5000 + [1] + [1] * 500)
+    for order in (np.arange(len(f)), np.random.default_rng(2).permutation(len(f)), np.argsort(-y, kind="stable")):
+        at, value = toxicity.isotonic(f[order], y[order])
+        assert len(set(at.tolist())) == len(at)
+        low, high = np.interp([-4.0, 4.0], at, value)
+        assert low < 0.001 and high > 0.999
+
+
+def test_isotonic_against_brute_force():
+    rnd = np.random.default_rng(3)
+    f = rnd.integers(0, 6, 60).astype(float)
+    y = (rnd.random(60) < f / 6).astype(int)
+    at, value = toxicity.isotonic(f, y)
+    points = np.unique(f)
+    size = np.array([(f == p).sum() for p in points])
+    mean = np.array([y[f == p].mean() for p in points])
+    block = lambda i, j: (size[i : j + 1] * mean[i : j + 1]).sum() / size[i : j + 1].sum()
+    best = [max(min(block(i, j) for j in range(k, len(points))) for i in range(k + 1)) for k in range(len(points))]  # the least-squares monotone fit
+    assert np.interp(points, at, value) == pytest.approx(best, abs=0.02)
+
+
+def test_one_contradicting_label_rejects_nothing_else(spark, documents):
+    """Clean documents that look alike have one margin; one of them labelled toxic must not carry the rest along."""
+    rows = [(i, "the garden is quiet and the river is wide " * 3) for i in range(1500)] + [(2000 + i, f"you gribblesnark are a vile gribblesnark {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i >= 2000 or i in (7, 8, 9, 10, 11, 12))) for i, _ in rows], "doc_id long, toxic int")
+    kept = {r["doc_id"] for r in toxicity.not_toxic(documents(rows), labels).select("doc_id").collect()}
+    assert kept == set(range(1500))
+
+
+def test_one_class_rejects_nothing(spark, documents):
+    rows = [(i, f"text {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, toxic int")
+    assert toxicity.not_toxic(documents(rows), labels).count() == 60
