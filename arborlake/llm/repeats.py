@@ -1,25 +1,31 @@
 """Repeated passages, by merging shard Burrows-Wheeler transforms with iterative interleave refinement.
 
-The transform is kept over sampled suffixes and wide symbols. Every window of LENGTH bytes holds a sampled position that
-depends on bytes inside the window only: the smallest 8-byte hash of any WINDOW consecutive positions. So two equal
-windows hold the same samples at the same places, and it is enough to order sampled suffixes with the bytes before them.
-
-Each task is a shard. It sorts its samples by a digest of the core, the bytes that every window anchored at the sample
-holds, and run-length codes them: that is its transform. The merged transform's interleave is a set of blocks, each
-holding what the shards have for one common prefix. Refinement goes by rounds and touches unsettled blocks only:
-
-1. blocks by core: a block with one suffix in all shards is settled, and no window there repeats;
-2. by the whole context (the bytes of all windows anchored at the sample): if a block does not split, its common prefix
-   is the context and all its windows repeat; so do those of a context that occurs twice in a block that splits;
-3. the windows of the contexts left, byte by byte, against the windows of one suffix for each context of their block.
-
-Suffixes are never sorted again, blocks are counted with partial sums and never gathered, and each round reads what
-the round before left. Contexts are equal if their 64-bit digests and the 64-bit digests of their cores are; windows
-have 128-bit digests.
-
-Defined results: a null text is empty; texts under LENGTH bytes lose nothing; windows never cross documents; repeated
-rows repeat each other, whatever their doc_id; empty tables give no rows; other columns are not read by the query and
-stay as they are in ``without_repeats``.
+Two kinds of windows are looked for: any LENGTH bytes, and passages, which begin and end with words and have at least
+WORDS words and PASSAGE bytes. A window is repeated if the same bytes are also a window of its kind elsewhere.
+
+The transform is kept over sampled suffixes and wide symbols. The sample of a window is the position with the smallest
+8-byte hash among its first ``step`` positions, so it depends on the window alone, and equal windows have equal samples.
+A sample's symbol is the ``width`` bytes from it, which all windows with that sample hold; the symbols of consecutive
+samples overlap, so a run of symbols, with the gaps between them, spells a run of text.
+
+Each shard (about PIECE bytes of a task's texts) sorts its sampled suffixes by doubling ranks and has their
+Burrows-Wheeler transform and LF mapping (``Transform``). Prefixes grow by LF steps: a suffix's prefix of h + 1 symbols
+is the transform's letter before the digest of the following suffix's prefix of h symbols. Digests mean the same in all
+shards, so the interleave of the shards is a set of blocks, each holding what the shards have for one common prefix.
+Shards exchange block sizes only, never suffixes that are settled, at these depths:
+
+1. one symbol: in a block with one suffix in all shards no window repeats;
+2. the symbols that spell all windows of a sample: if a block does not split there, its common prefix covers the
+   windows and all of them repeat; so do those of a prefix that occurs twice in a block that splits;
+3. the windows of what is left, byte by byte, against the windows of one suffix for each prefix of their block.
+
+Suffixes of different shards are never sorted together, blocks are counted with partial sums and never gathered, and
+each round reads what the round before left. Prefixes of one block are told apart by 64-bit digests, so an error needs
+two of one block to agree by chance; windows have 128-bit digests.
+
+Defined results: a null text is empty; texts under LENGTH bytes and without passages lose nothing; windows never cross
+documents; repeated rows repeat each other, whatever their doc_id; empty tables give no rows; other columns are not
+read by the query and stay as they are in ``without_repeats``.
 """
 
 from __future__ import annotations
@@ -36,60 +42,179 @@ from pyspark.sql import functions as F
 from arborlake.llm.shared import slices, text_key, written
 
 LENGTH = 400
+WORDS = 51
+PASSAGE = 256
 GRAM = 8
-PIECE = 1 << 19
+PIECE = 1 << 20
+BATCH = 1 << 15
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
-def sample_window(length: int) -> int:
-    """The widest window for which each ``length`` bytes hold a sample that bytes outside cannot move."""
-    return max(1, 1 << ((length - GRAM + 3) // 3).bit_length() - 1)
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit digest of two 64-bit numbers, in this order."""
+    h = (a ^ (a >> _C)) * _A + b
+    h = (h ^ (h >> _C)) * _B
+    return h ^ (h >> _C)
 
 
-def sampled(data: bytes, window: int) -> np.ndarray:
-    """Positions whose 8-byte hash is smallest in one of the runs of ``window`` positions around them; all on a tie."""
+def sampling(shortest: int) -> tuple[int, int]:
+    """step, width: among how many first positions a window's sample is, and how many bytes from it all windows hold."""
+    step = 1 << ((shortest + 1) // 2).bit_length() - 1
+    return step, shortest - step + 1
+
+
+def samples(data: bytes, step: int) -> np.ndarray:
+    """For each position the sample of a window that begins there: the first of the smallest hashes of ``step`` positions."""
     n = len(data) - GRAM + 1
-    if n < 1:
+    if n < step:
         return np.empty(0, dtype=np.int64)
     grams = np.ndarray((n,), "<u8", data, 0, (1,))
-    value = ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
-    pad = np.full(window - 1, np.iinfo(np.uint32).max, dtype=np.uint32)
-    low = np.concatenate((pad, value, pad))
-    step = 1
-    while step < window:
-        low = np.minimum(low[:-step], low[step:])
-        step *= 2
-    high = low
-    step = 1
-    while step < window:
-        high = np.maximum(high[:-step], high[step:])
-        step *= 2
-    return np.flatnonzero(high == value)
-
-
-def suffixes(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """For each sample with windows: text number, first window, windows, core digest, context digest."""
-    window = sample_window(length)
+    low = ((grams * _A) & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64)
+    k = 1
+    while k < step:
+        low = np.minimum(low[:-k], low[k:])
+        k *= 2
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+class Transform:
+    """The Burrows-Wheeler transform of a shard's sampled texts: letter numbers in text order, each text ended by a sign of its own."""
+
+    def __init__(self, letter: np.ndarray, own: np.ndarray) -> None:
+        n = len(letter)
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if n else np.empty(0, np.int64)
+        ends = np.append(first[1:], n) if n else first
+        end_of = np.repeat(ends, ends - first)
+        rank = np.unique(letter, return_inverse=True)[1].astype(np.int64)
+        kinds, k, place = rank.max(initial=-1) + 1, 1, np.arange(n)
+        while kinds < n:  # rank by twice as many symbols; texts that end alike stay equal
+            following = np.where(place + k < end_of, np.append(rank, np.zeros(k, np.int64))[k:] + 1, 0)
+            rank = np.unique(rank * (n + 1) + following, return_inverse=True)[1].astype(np.int64)
+            more = rank.max() + 1
+            if more == kinds:
+                break
+            kinds, k = more, 2 * k
+        self.suffixes = np.argsort(rank, kind="stable")  # sorted suffixes; before them come the texts' empty ones
+        self.row = np.empty(n, dtype=np.int64)
+        self.row[self.suffixes] = np.arange(n) + len(first)
+        before = np.arange(-1, n)
+        before[first] = -1
+        before = np.concatenate((ends - 1, before[self.suffixes]))
+        self.known = np.flatnonzero(before >= 0)
+        self.letter = letter[before[self.known]]  # the transform, without the texts' beginnings
+        self.lf = np.empty(len(self.known), dtype=np.int64)
+        self.lf[np.argsort(self.letter, kind="stable")] = np.arange(n) + len(first)
+        self.texts = len(first)
+
+    def prefixes(self, symbol: np.ndarray, suffix: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """Digests of the first ``depth`` symbols of the asked suffixes, by LF steps over all rows."""
+        out = np.zeros(len(suffix), dtype=np.uint64)
+        order = np.argsort(depth, kind="stable")
+        rows, deep = self.row[suffix[order]], depth[order]
+        digest = np.zeros(len(symbol) + self.texts, dtype=np.uint64)
+        digest[self.row] = symbol
+        at = 0
+        for h in range(1, int(deep[-1]) + 1 if len(deep) else 0):
+            to = np.searchsorted(deep, h, side="right")
+            out[order[at:to]] = digest[rows[at:to]]
+            at = to
+            longer = np.zeros_like(digest)
+            longer[self.lf] = mixed(self.letter, digest[self.known])
+            digest = longer
+        out[order[at:]] = digest[rows[at:]]
+        return out
+
+
+def passages(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, words: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each passage: from each word, the shortest run of whole words that is one; none crosses texts."""
+    word = ~((data == 0x20) | ((data >= 9) & (data <= 13)))
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[starts] = True
+    edge[-1] = True
+    lo = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
+    hi = np.flatnonzero(word & (edge[1:] | ~np.concatenate((word[1:], [False])))) + 1
+    if len(lo) == 0:
+        return lo, hi
+    last = np.maximum(np.arange(len(lo)) + words - 1, np.searchsorted(hi, lo + least))
+    ok = last < len(lo)
+    lo, hi = lo[ok], hi[last[ok]]
+    text = np.searchsorted(starts, lo, side="right") - 1
+    ok = hi <= starts[text] + sizes[text]
+    return lo[ok], hi[ok]
+
+
+def _heads(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+
+
+def suffixes(texts: list[bytes], length: int, words: int, least: int) -> tuple[np.ndarray, ...]:
+    """For each sample with windows: text number, first window, windows, begin, end and number of its passages, block, prefix."""
+    step, width = sampling(min(length, least))
+    texts_at = np.flatnonzero(np.array([len(t) for t in texts]) >= min(length, least)) if texts else np.empty(0, np.int64)
+    texts = [texts[i] for i in texts_at]
+    none = np.empty(0, dtype=np.int32)
+    if not texts:
+        return np.empty(0, np.int64), none, none, none, none, none, np.empty(0, np.int64), np.empty(0, np.int64)
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = b"".join(texts)
-    at = sampled(data, window)
+    sample_of = samples(data, step)
+
+    def starting(tail: int) -> np.ndarray:
+        """Positions from which at least ``tail`` bytes of the text follow."""
+        ok = np.ones(len(data), dtype=bool)
+        for s, z in zip(starts.tolist(), sizes.tolist()):
+            ok[max(s, s + z - tail + 1) : s + z] = False
+        return np.flatnonzero(ok)
+
+    # sampled suffixes: a text's beginning, and the samples of all windows inside it
+    seen = sample_of[starting(step + GRAM - 1)]
+    at = np.unique(np.concatenate((starts, seen[_heads(seen)])))
     own = np.searchsorted(starts, at, side="right") - 1
-    place = at - starts[own]
-    last = np.concatenate(([-1], at[:-1])) - starts[own]
-    first = np.maximum(last - window + 2, 0)
-    final = np.minimum(place - window + 1, sizes[own] - length)
-    ok = final >= first
-    own, place, first, final = own[ok], place[ok], first[ok], final[ok]
-    base = starts[own]
-    digest = xxhash.xxh3_64_digest
-    view = memoryview(data)
-    core_from = (base + place - window + 1).tolist()
-    core_to = (base + place - 2 * (window - 1) + length).tolist()
-    cores = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(core_from, core_to)]), dtype=">i8").astype(np.int64)
-    contexts = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip((base + first).tolist(), (base + final + length).tolist())]), dtype=">i8").astype(np.int64)
-    spans = final - first + 1
-    shape = ((place - first) * 1009 + spans).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return own, first.astype(np.int32), spans.astype(np.int32), cores, (contexts.view(np.uint64) ^ shape).view(np.int64)
+    ends = starts[own] + sizes[own]
+    final = np.append(own[1:] != own[:-1], True)
+    stop = np.where(final, ends, np.minimum(at + width, ends))  # a text's last symbol goes on to its end
+    view, digest = memoryview(data), xxhash.xxh3_64_digest
+    number = lambda lo, hi: np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(lo.tolist(), hi.tolist())]), dtype=">u8").astype(np.uint64)
+    symbol = number(at, stop)
+    block = symbol.copy()
+    block[final] = number(at[final], np.minimum(at + width, ends)[final])
+    gap = np.where(final, 0, np.append(at[1:], 0) - at).astype(np.uint64)
+    transform = Transform(mixed(symbol, gap), own)
+    # windows of LENGTH bytes, by their sample: windows with the same sample are consecutive
+    first = np.full(len(at), len(data) + 1)
+    span = np.zeros(len(at), dtype=np.int64)
+    begins = starting(length)
+    heads = _heads(sample_of[begins])
+    which = np.searchsorted(at, sample_of[begins[heads]])
+    first[which] = begins[heads]
+    span[which] = np.diff(np.append(heads, len(begins)))
+    # passages, by their sample
+    lo, hi = passages(np.frombuffer(data, dtype=np.uint8), starts, sizes, words, least)
+    p_lo, p_hi, p_span = np.full(len(at), len(data) + 1), np.full(len(at), -1), np.zeros(len(at), dtype=np.int64)
+    shape = np.zeros(len(at), dtype=np.uint64)
+    if len(lo):
+        from_sample = sample_of[lo]
+        heads = _heads(from_sample)
+        which = np.searchsorted(at, from_sample[heads])
+        p_lo[which], p_hi[which], p_span[which] = lo[heads], hi[np.append(heads[1:], len(hi)) - 1], np.diff(np.append(heads, len(lo)))
+        shape[which] = np.add.reduceat(mixed((lo - from_sample).astype(np.uint64), (hi - from_sample).astype(np.uint64)), heads)
+    # the run of symbols that spells all windows of a sample
+    some = np.flatnonzero((span > 0) | (p_hi >= 0))
+    begin = np.minimum(first[some], p_lo[some])
+    end = np.maximum(np.where(span[some] > 0, first[some] + span[some] - 1 + length, -1), p_hi[some])
+    x = np.searchsorted(at, begin, side="right") - 1
+    y = np.searchsorted(stop, end)
+    prefix = transform.prefixes(symbol, x, y - x + 1)
+    shape = mixed(shape[some], mixed((at[some] - np.where(span[some] > 0, first[some], at[some])).astype(np.uint64) + (at[some] - at[x]).astype(np.uint64) * _A, span[some].astype(np.uint64)))
+    base = starts[own[some]]
+    bytes_from = np.where(span[some] > 0, first[some] - base, 0)
+    words_from, words_to = np.where(p_hi[some] >= 0, p_lo[some] - base, 0), np.where(p_hi[some] >= 0, p_hi[some] - base, 0)
+    return (
+        texts_at[own[some]], bytes_from.astype(np.int32), span[some].astype(np.int32), words_from.astype(np.int32), words_to.astype(np.int32), p_span[some].astype(np.int32),
+        block[some].view(np.int64), mixed(prefix, shape).view(np.int64),
+    )
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -108,99 +233,122 @@ def _runs(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
         yield at, run
 
 
-def shard_transforms(docs: DataFrame, length: int) -> DataFrame:
-    """core, suffixes, low, high: each shard's sorted samples, run-length coded, with the least and greatest context."""
+def shard_blocks(docs: DataFrame, *windows: int) -> DataFrame:
+    """block, suffixes, low, high: each shard's sampled suffixes by their first symbol, with the least and greatest prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for _, texts in _runs(_texts(batch.column(0))):
-                _, _, _, cores, contexts = suffixes(texts, length)
-                order = np.lexsort((contexts, cores))
-                cores, contexts = cores[order], contexts[order]
-                heads = np.flatnonzero(np.concatenate(([True], cores[1:] != cores[:-1]))) if len(cores) else np.empty(0, np.int64)
-                ends = np.concatenate((heads[1:], [len(cores)])) if len(cores) else heads
+                *_, blocks, prefixes = suffixes(texts, *windows)
+                order = np.lexsort((prefixes, blocks))
+                blocks, prefixes = blocks[order], prefixes[order]
+                heads = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(blocks) else np.empty(0, np.int64)
+                ends = np.concatenate((heads[1:], [len(blocks)])) if len(blocks) else heads
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cores[heads]), pa.array(ends - heads), pa.array(contexts[heads]), pa.array(contexts[ends - 1])],
-                    names=["core", "suffixes", "low", "high"],
+                    [pa.array(blocks[heads]), pa.array(ends - heads), pa.array(prefixes[heads]), pa.array(prefixes[ends - 1])],
+                    names=["block", "suffixes", "low", "high"],
                 )
 
-    return docs.select("text").mapInArrow(run, "core long, suffixes long, low long, high long")
+    return docs.select("text").mapInArrow(run, "block long, suffixes long, low long, high long")
 
 
-def shard_suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """doc_id, text_key, first, span, core, context: each sample with the windows it anchors."""
+def shard_suffixes(docs: DataFrame, *windows: int) -> DataFrame:
+    """doc_id, text_key, first, span, words_from, words_to, passages, block, prefix: each sample with its windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "text_key", "first", "span", "words_from", "words_to", "passages", "block", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for at, texts in _runs(_texts(batch.column(2))):
-                own, first, span, cores, contexts = suffixes(texts, length)
+                own, *columns = suffixes(texts, *windows)
                 take = pa.array(own + at)
-                columns = [batch.column(0).take(take), batch.column(1).take(take), pa.array(first), pa.array(span), pa.array(cores), pa.array(contexts)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "first", "span", "core", "context"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names=names)
 
-    return docs.select("doc_id", "text_key", "text").mapInArrow(run, f"doc_id {kind}, text_key long, first int, span int, core long, context long")
+    schema = f"doc_id {kind}, text_key long, first int, span int, words_from int, words_to int, passages int, block long, prefix long"
+    return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def windows(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """doc_id, text_key, first, alone, digest: the windows of the asked suffixes, one row each."""
+def windows_of(docs: DataFrame, asked: DataFrame, length: int, words: int, least: int) -> DataFrame:
+    """doc_id, text_key, lo, hi, passage, alone, digest: the windows of the asked suffixes, one row each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lists = asked.groupBy(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key")).agg(
-        F.collect_list("first").alias("firsts"), F.collect_list("span").alias("spans"), F.collect_list("alone").alias("alones")
-    )
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
+    asked = asked.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.struct("first", "span", "words_from", "passages", "alone").alias("one"))
+    lists = asked.groupBy("w_id", "w_key").agg(F.collect_list("one").alias("asked"))  # at most the samples of one text
     # a repeated row is looked at once; its windows are asked for once
-    joined = joined.select("doc_id", "text_key", "text", "firsts", "spans", "alones")
+    once = docs.dropDuplicates(["doc_id", "text_key"])
+    joined = once.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
+    joined = joined.select("doc_id", "text_key", "text", "asked")
+
+    def found(text: bytes, asked: list[dict]) -> Iterator[tuple[int, int, bool, bool]]:
+        lo, hi = passages(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64), np.array([len(text)]), words, least)
+        for one in asked:
+            for a in range(one["first"], one["first"] + one["span"]):
+                yield a, a + length, False, one["alone"]
+            p = np.searchsorted(lo, one["words_from"])
+            for a, b in zip(lo[p : p + one["passages"]].tolist(), hi[p : p + one["passages"]].tolist()):
+                yield a, b, True, one["alone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
-        for batch in slices(batches):
-            own, place, alone, digests = [], [], [], []
-            for i, (text, firsts, spans, alones) in enumerate(zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)))):
-                view = memoryview(text.encode())
-                for a, n, single in zip(firsts, spans, alones):
-                    own += [i] * n
-                    place += range(a, a + n)
-                    alone += [single] * n
-                    digests += [digest(view[p : p + length]) for p in range(a, a + n)]
-            take = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(place, pa.int32()), pa.array(alone, pa.bool_()), pa.array(digests, pa.binary())],
-                names=["doc_id", "text_key", "first", "alone", "digest"],
-            )
-
-    return joined.mapInArrow(run, f"doc_id {kind}, text_key long, first int, alone boolean, digest binary")
-
-
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, text_key, spans (array of struct(lo, hi), bytes): windows that occur elsewhere too. ``docs``: doc_id, text_key, text."""
-    cut = ["doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("span") - 1 + length).alias("hi")]
-    blocks = shard_transforms(docs, length).groupBy(F.col("core").alias("b_core")).agg(
+        for batch in slices(batches, 64):
+            rows: list[tuple] = []
+
+            def flush() -> pa.RecordBatch:
+                own, lo, hi, passage, alone, digests = zip(*rows)
+                take = pa.array(own, pa.int64())
+                arrays = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(passage), pa.array(alone), pa.array(digests, pa.binary())]
+                rows.clear()
+                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *arrays], names=["doc_id", "text_key", "lo", "hi", "passage", "alone", "digest"])
+
+            for i in range(batch.num_rows):
+                text = batch.column(2)[i].as_py().encode()
+                view = memoryview(text)
+                for lo, hi, passage, alone in found(text, batch.column(3)[i].as_py()):
+                    rows.append((i, lo, hi, passage, alone, digest(view[lo:hi])))
+                    if len(rows) >= BATCH:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    return joined.mapInArrow(run, f"doc_id {kind}, text_key long, lo int, hi int, passage boolean, alone boolean, digest binary")
+
+
+def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int = PASSAGE) -> DataFrame:
+    """doc_id, text_key, spans (array of struct(lo, hi, words_lo, words_hi), bytes): windows and passages that occur elsewhere too.
+
+    ``docs``: doc_id, text_key, text. Where a span has no bytes or no words, both ends are equal.
+    """
+    cut = [
+        "doc_id", "text_key", F.col("first").alias("lo"), F.when(F.col("span") > 0, F.col("first") + F.col("span") - 1 + length).otherwise(F.col("first")).alias("hi"),
+        F.col("words_from").alias("words_lo"), F.col("words_to").alias("words_hi"),
+    ]
+    blocks = shard_blocks(docs, length, words, least).groupBy(F.col("block").alias("b_block")).agg(
         F.sum("suffixes").alias("suffixes"), F.min("low").alias("low"), F.max("high").alias("high")
     )
     # a table of its own, so that the join below can split a block that holds many suffixes
-    blocks = written(blocks.where("suffixes > 1").select("b_core", (F.col("low") != F.col("high")).alias("splits")), "blocks")
-    active = shard_suffixes(docs, length).join(blocks, F.col("core") == F.col("b_core")).drop("b_core")
+    blocks = written(blocks.where("suffixes > 1").select("b_block", (F.col("low") != F.col("high")).alias("splits")), "blocks")
+    active = shard_suffixes(docs, length, words, least).join(blocks, F.col("block") == F.col("b_block")).drop("b_block")
     active = written(active, "suffixes")
     settled = active.where("not splits").select(*cut)
     split = active.where("splits")
-    contexts = split.groupBy("core", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "first", "span")).alias("one"))
-    contexts = written(contexts, "contexts")
-    shared = contexts.where("n > 1").select(F.col("core").alias("c_core"), F.col("context").alias("c_context"))
-    whole = split.join(shared, (F.col("core") == F.col("c_core")) & (F.col("context") == F.col("c_context"))).select(*cut)
-    asked = contexts.select("one.*", (F.col("n") == 1).alias("alone"))
-    bytewise = written(windows(docs, asked, length), "windows")
-    twice = written(bytewise.groupBy(F.col("digest").alias("d_digest")).agg(F.count("*").alias("n")).where("n > 1"), "twice")
-    partly = bytewise.where("alone").join(twice, F.col("digest") == F.col("d_digest")).select(
-        "doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + length).alias("hi")
-    )
-    return settled.union(whole).union(partly).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-
-
-def merged(spans: list[dict]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans made one, in order."""
+    one = F.struct("doc_id", "text_key", "first", "span", "words_from", "passages")
+    prefixes = written(split.groupBy("block", "prefix").agg(F.count("*").alias("n"), F.min(one).alias("one")), "prefixes")
+    shared = prefixes.where("n > 1").select(F.col("block").alias("c_block"), F.col("prefix").alias("c_prefix"))
+    whole = split.join(shared, (F.col("block") == F.col("c_block")) & (F.col("prefix") == F.col("c_prefix"))).select(*cut)
+    bytewise = written(windows_of(docs, prefixes.select("one.*", (F.col("n") == 1).alias("alone")), length, words, least), "windows")
+    twice = bytewise.groupBy(F.col("digest").alias("d_digest"), F.col("passage").alias("d_passage")).agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(twice, "twice")
+    partly = bytewise.where("alone").join(twice, (F.col("digest") == F.col("d_digest")) & (F.col("passage") == F.col("d_passage"))).select(
+        "doc_id", "text_key", *[F.when(F.col("passage") == of, F.col(c)).otherwise(F.lit(0)).alias(to) for of, c, to in
+                                [(False, "lo", "lo"), (False, "hi", "hi"), (True, "lo", "words_lo"), (True, "hi", "words_hi")]]
+    )
+    # a set: the spans of a row that is repeated are those of one
+    return settled.union(whole).union(partly).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
+
+
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans made one, in order; empty ones are left out."""
     out: list[tuple[int, int]] = []
-    for lo, hi in sorted((s["lo"], s["hi"]) for s in spans):
+    for lo, hi in sorted(s for s in spans if s[0] < s[1]):
         if out and lo <= out[-1][1]:
             out[-1] = (out[-1][0], max(hi, out[-1][1]))
         else:
@@ -215,36 +363,37 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([text[a:b] for a, b in zip(bounds[::2], bounds[1::2])])
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, *windows: int) -> DataFrame:
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    spans = written(repeated_spans(keyed, length), "spans").select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
+    spans = written(repeated_spans(keyed, *windows), "spans").select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
     whole = docs.withColumn("__r_own", text_key())
     return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.col("__r_own") == F.col("__r_key")), "left")
 
 
-def op10(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
+def op10(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int = PASSAGE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row, by windows of ``length`` bytes; then n_passages and
+    passage_bytes: the runs of its text that passages cover and their bytes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    joined = _with_spans(docs.select("doc_id", "text"), length).select("doc_id", "text", "__r_spans")
+    joined = _with_spans(docs.select("doc_id", "text"), length, words, least).select("doc_id", "text", "__r_spans")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages", "passage_bytes"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
-                runs = merged(spans or [])
+                runs = merged([(s["lo"], s["hi"]) for s in spans or []])
+                passages = merged([(s["words_lo"], s["words_hi"]) for s in spans or []])
                 left = kept(text, runs)
-                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
-            sizes, gone, number, digests = zip(*rows) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(number, pa.int64()), pa.array(digests, pa.string())],
-                names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
+                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), len(passages), sum(b - a for a, b in passages)))
+            columns = zip(*rows) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=names)
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with every repeated passage cut out of text; a character that is cut in part goes. Documents of which nothing is left go."""
+def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int = PASSAGE) -> DataFrame:
+    """``docs`` with every repeated window and passage cut out of text; a character that is cut in part goes. Documents of which nothing is left go."""
 
     at, columns = docs.columns.index("text"), docs.columns
 
@@ -252,10 +401,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in slices(batches):
             texts, stay = [], []
             for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                left = text if spans is None else kept(text.encode(), merged(spans)).decode("utf-8", "ignore")
+                cuts = merged([x for s in spans or [] for x in ((s["lo"], s["hi"]), (s["words_lo"], s["words_hi"]))])
+                left = kept(text.encode(), cuts).decode("utf-8", "ignore") if cuts else text
                 texts.append(left)
-                stay.append(spans is None or left != "")
+                stay.append(not cuts or left != "")
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stay, pa.bool_()))
 
-    return _with_spans(docs, length).select(*columns, "__r_spans").mapInArrow(run, docs.schema)
+    return _with_spans(docs, length, words, least).select(*columns, "__r_spans").mapInArrow(run, docs.schema)

@@ -1,18 +1,34 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
+import numpy as np
+
 from arborlake.llm import repeats
 
 
 def brute(texts, length):
-    seen = Counter(t[p : p + length] for t in texts for p in range(len(t) - length + 1))
+    return cut([[(p, p + length) for p in range(len(t) - length + 1)] for t in texts], texts)
+
+
+def passages(text, words, least):
+    found = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    for i, (a, _) in enumerate(found):
+        for b in (b for _, b in found[i + words - 1 :]):
+            if b - a >= least:
+                yield a, b
+                break
+
+
+def cut(windows, texts):
+    seen = Counter(t[a:b] for t, w in zip(texts, windows) for a, b in w)
     out = []
-    for t in texts:
+    for t, w in zip(texts, windows):
         mask = bytearray(len(t))
-        for p in range(len(t) - length + 1):
-            if seen[t[p : p + length]] > 1:
-                mask[p : p + length] = b"\1" * length
+        for a, b in w:
+            if seen[t[a:b]] > 1:
+                mask[a:b] = b"\1" * (b - a)
         left = bytes(c for c, m in zip(t, mask) if not m)
         runs = sum(1 for i, m in enumerate(mask) if m and (i == 0 or not mask[i - 1]))
         out.append((len(t), len(t) - len(left), runs, hashlib.sha256(left).hexdigest()))
@@ -31,8 +47,12 @@ def corpus(seed):
 def test_against_brute_force(spark, documents):
     for length in (40, 57, 400):
         texts = [t.encode() for t in corpus(length)]
-        got = {r["doc_id"]: tuple(r[1:]) for r in repeats.op10(documents([(i, t.decode()) for i, t in enumerate(texts)]), length).collect()}
-        assert [got[i] for i in range(len(texts))] == brute(texts, length)
+        docs = documents([(i, t.decode()) for i, t in enumerate(texts)])
+        for words, least in ((51, 256), (7, 40), (3, 41)):
+            got = {r["doc_id"]: tuple(r[1:]) for r in repeats.op10(docs, length, words, least).collect()}
+            assert [got[i][:4] for i in range(len(texts))] == brute(texts, length)
+            want = cut([list(passages(t, words, least)) for t in texts], texts)
+            assert [got[i][4:] for i in range(len(texts))] == [(w[2], w[1]) for w in want]
 
 
 def test_nulls_and_repeated_rows(spark, documents):
@@ -58,9 +78,50 @@ def test_empty(spark, documents):
 def test_samples_do_not_depend_on_what_is_outside():
     rnd = random.Random(9)
     data = bytes(rnd.randrange(97, 103) for _ in range(3000))
-    w = repeats.sample_window(400)
-    whole = set(repeats.sampled(data, w).tolist())
+    step, width = repeats.sampling(256)
+    assert width >= step
+    whole = repeats.samples(data, step)
     for p in range(0, 2600, 37):
-        inside = {p + int(x) for x in repeats.sampled(data[p : p + 400], w)}
-        sure = range(p + w - 1, p + 400 - repeats.GRAM - w + 2)
-        assert whole & set(sure) == inside & set(sure) and whole & set(sure)
+        assert whole[p] == p + repeats.samples(data[p : p + 256], step)[0] and p <= whole[p] < p + step
+
+
+def test_the_transform_sorts_and_walks():
+    rnd = np.random.default_rng(5)
+    for texts in ([5, 9, 1], [1], [30, 30, 2]):
+        own = np.repeat(np.arange(len(texts)), texts)
+        letter = rnd.integers(0, 3, len(own)).astype(np.uint64)
+        if texts[0] == texts[1 % len(texts)]:
+            letter[: texts[0]] = letter[texts[0] : 2 * texts[0]] if len(texts) > 1 else letter
+        t = repeats.Transform(letter, own)
+        tail = [tuple(letter[i : np.flatnonzero(own == own[i])[-1] + 1]) for i in range(len(own))]
+        assert [tail[i] for i in t.suffixes] == sorted(tail)
+        symbol = rnd.integers(0, 2**63, len(own)).astype(np.uint64)
+        ask = [(i, h) for i in range(len(own)) for h in range(1, len(tail[i]) + 1)]
+        got = t.prefixes(symbol, np.array([i for i, _ in ask]), np.array([h for _, h in ask]))
+        for (i, h), d in zip(ask, got):
+            want = symbol[i + h - 1 : i + h]
+            for j in range(i + h - 2, i - 1, -1):
+                want = repeats.mixed(letter[j : j + 1], want)
+            assert d == want[0]
+
+
+def test_long_and_hot_texts(spark, documents):
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 9)))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(60_000))
+    rows = [(0, long), (1, long[1000:] + " end"), (2, "x" * 70_000)] + [(10 + i, f"{word()} {i} {passage} {word()}") for i in range(300)] + [(500, passage)] * 40
+    texts = [t.encode() for _, t in rows]
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["n_passages"], r["passage_bytes"]) for r in repeats.op10(documents(rows)).collect())
+    words = cut([list(passages(t, 51, 256)) for t in texts], texts)
+    assert got == sorted((i, *b[:3], w[2], w[1]) for (i, _), b, w in zip(rows, brute(texts, 400), words))
+
+
+def test_passages_of_over_fifty_words_go(spark, documents):
+    """51 words of about 300 bytes, too short for the byte windows; 50 words stay."""
+    of = lambda n: " ".join("w%04d" % (i * 37 % 9973) for i in range(n))
+    docs = documents([(1, "begin here " + of(51) + " and end"), (2, of(51)), (3, "q%s" % of(50).replace("w", "v")), (4, of(50).replace("w", "v")), (5, "clean text")])
+    got = {r["doc_id"]: (r["n_removed"], r["n_passages"]) for r in repeats.op10(docs).collect()}
+    assert got == {1: (0, 1), 2: (0, 1), 3: (0, 0), 4: (0, 0), 5: (0, 0)}
+    assert {r["doc_id"]: r["text"] for r in repeats.without_repeats(docs).collect()}[1] == "begin here  and end"
+    assert repeats.without_repeats(docs).where("doc_id = 2").count() == 0
