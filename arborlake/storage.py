@@ -12,12 +12,14 @@ _written: list[tuple[object, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new local one where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, a new one, in local mode only."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         context = spark.sparkContext
         place = context.getCheckpointDir()
         if not place:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="arborlake-"))
             place = context.getCheckpointDir()
     return place.rstrip("/")
@@ -29,7 +31,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
 
 
 def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
@@ -39,12 +43,24 @@ def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, d
     return table, seen.get
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` or ``measured`` gave, once all that was made of them is written itself."""
+    for table in tables:
+        pair = (table.sparkSession, table._written_at)
+        _written.remove(pair)
+        _remove(*pair)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended before the process does
             return
 
