@@ -129,7 +129,7 @@ class Store:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[str | None, int] = {}
         self.values = np.empty(0, dtype=np.uint32)
         self.starts = np.zeros(1, dtype=np.int64)
 
@@ -137,18 +137,18 @@ class Store:
         """The row of each pre-token of each split."""
         if len(self.place) > self.most:
             self.clear()
-        fresh: dict[int, str | None] = {}
+        fresh: dict[str | None, None] = {}
         for s in splits:
-            for key, word in zip(s.keys.tolist(), s.words):
-                if key not in self.place:
-                    fresh[key] = word
+            for word in s.words:
+                if word not in self.place:
+                    fresh[word] = None
         if fresh:
-            values, counts = self.make(list(fresh.values()))
+            values, counts = self.make(list(fresh))
             base = len(self.starts) - 1
             self.place.update(zip(fresh, range(base, base + len(fresh))))
             self.values = np.concatenate((self.values, values.astype(np.uint32)))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
-        return [np.array([self.place[k] for k in s.keys.tolist()], dtype=np.int64)[s.which] for s in splits]
+        return [np.array([self.place[w] for w in s.words], dtype=np.int64)[s.which] for s in splits]
 
     def counts(self) -> np.ndarray:
         return np.diff(self.starts)

@@ -98,32 +98,53 @@ def counter(name: str = bpe.VOCABULARY) -> bpe.Store:
 
 
 class PrefixCounts:
-    """Token counts of the prefixes of one text."""
+    """The token count of every prefix of one text, kept as an array: ``counts[i]`` for the first i characters.
+
+    Inside a pre-token the programme gives the counts of all prefixes at once. The split itself can differ from that of
+    the whole text where a prefix ends in white space, in a contraction or in the special token: there the last
+    pre-tokens are split again while the array is made, and never afterwards.
+    """
 
     def __init__(self, text: str, name: str = bpe.VOCABULARY) -> None:
         self.text, self.name = text, name
-        self.vocab = bpe.vocabulary(name)
-        s = pretokens.split([text], self.vocab.special)
-        store = counter(name)
-        rows = store.look([s])[0]
-        self.before = np.concatenate(([0], np.cumsum(store.values[rows], dtype=np.int64)))
-        sizes = [len(self.vocab.special) if w is None else len(w) for w in s.words]
-        self.starts = np.concatenate(([0], np.cumsum(np.array(sizes, dtype=np.int64)[s.which]))) if sizes else np.zeros(1, np.int64)
+        special = bpe.vocabulary(name).special
+        run = programme(name)
+        s = pretokens.split([text], special)
+        known = [None if w is None else run.prefixes(w.encode()) for w in s.words]
+        counts = np.zeros(len(text) + 1, dtype=np.int64)
+        starts, before, at, total = [], [], 0, 0
+        for which in s.which.tolist():
+            word = s.words[which]
+            starts.append(at)
+            before.append(total)
+            size = len(special) if word is None else len(word)
+            again = word is None or word[0] == "'" or word[-1].isspace() or word[0].isspace() and len(word) > 1 and word[1] == "'"
+            if not again:
+                bytes_at = np.cumsum([len(c.encode()) for c in word])
+                counts[at + 1 : at + size + 1] = total + np.array(known[which], dtype=np.int64)[bytes_at]
+            # a prefix that ends in white space may join it with what comes before
+            for i in range(at + 1, at + size + 1) if again else [at + 1] if word[0].isspace() else []:
+                k = max(0, len(starts) - 3)
+                counts[i] = before[k] + self._total(text[starts[k] : i], special, run)
+            at += size
+            total += 1 if word is None else known[which][-1]
+        self.counts = counts
+
+    @staticmethod
+    def _total(text: str, special: str, run: Programme) -> int:
+        s = pretokens.split([text], special)
+        return sum(1 if s.words[i] is None else run.prefixes(s.words[i].encode())[-1] for i in s.which.tolist())
 
     def at(self, chars: int) -> int:
         """How many tokens the text's first ``chars`` characters have."""
-        k = int(np.searchsorted(self.starts, chars, side="right")) - 1
-        k = max(0, k - 2)  # a cut can change the split of the last pre-tokens only
-        rest = self.text[int(self.starts[k]) : chars]
-        s = pretokens.split([rest], self.vocab.special)
-        return int(self.before[k] + sum((1 if w is None else programme(self.name).prefixes(w.encode())[-1]) for w in (s.words[i] for i in s.which)))
+        return int(self.counts[chars])
 
     def total(self) -> int:
-        return int(self.before[-1])
+        return int(self.counts[-1])
 
     def cut(self, budget: int) -> int:
-        """The most whole pre-tokens' characters that have at most ``budget`` tokens."""
-        return int(self.starts[int(np.searchsorted(self.before, budget, side="right")) - 1])
+        """The most characters that have at most ``budget`` tokens (0 for a negative budget)."""
+        return int(np.flatnonzero(self.counts <= max(0, budget))[-1])
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = bpe.VOCABULARY) -> DataFrame:
@@ -147,5 +168,17 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, name: str = bpe.VOCABULARY
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
+def truncated(docs: DataFrame, budget: int, name: str = bpe.VOCABULARY) -> DataFrame:
+    """``docs`` with texts cut to the longest prefix of at most ``budget`` tokens; null texts stay null, all columns stay."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            texts = [None if t is None else t[: PrefixCounts(t, name).cut(budget)] for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6(docs: DataFrame) -> DataFrame:
     return token_counts(docs)

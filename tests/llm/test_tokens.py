@@ -45,16 +45,21 @@ def test_counts(spark, documents, library):
 def test_counts_of_every_prefix(library):
     for t in texts()[:60]:
         counts = token_counts.PrefixCounts(t)
+        assert len(counts.counts) == len(t) + 1
         for i in range(len(t) + 1):
             assert counts.at(i) == len(library.encode(t[:i], add_special_tokens=False).ids)
 
 
-def test_cut_fits_the_budget(library):
-    t = "the quick brown fox jumps over the lazy dog " * 20
-    counts = token_counts.PrefixCounts(t)
-    for budget in (0, 1, 17, 1000):
-        assert counts.at(counts.cut(budget)) <= budget
-    assert counts.cut(10_000) == len(t) and counts.total() == counts.at(len(t))
+def test_cut_uses_the_whole_budget(spark, documents, library):
+    many = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    some = ["the quick brown fox jumps over the lazy dog " * 4, "a" * 60, "x \n\n y   'll don't", "", texts()[17], texts()[23]]
+    for budget in (0, 1, 7, 17, 1000):
+        got = {r["doc_id"]: r["text"] for r in token_counts.truncated(documents(list(enumerate(some)) + [(99, None)]), budget).collect()}
+        assert got.pop(99) is None
+        for i, t in enumerate(some):
+            best = max(n for n in range(len(t) + 1) if many(t[:n]) <= budget)
+            assert got[i] == t[:best]
+            assert token_counts.PrefixCounts(t).total() == many(t)
 
 
 def test_a_full_store_changes_nothing():
