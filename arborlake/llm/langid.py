@@ -4,8 +4,9 @@ Letters are made small, everything else is one space, and n-grams of 1 to 3 char
 A document's vector has ``log(1 + count) * idf`` per bucket and length 1. Weights come from follow-the-regularised-
 leader with an elastic net (L1 keeps them sparse); a temperature found on a fifth of the sample calibrates them.
 
-The model is fitted on at most SAMPLE documents, about equally many of each language (a documented bound); all rows
-are predicted, from whole texts. Defined results: ``und`` with score 0 for null texts, texts without a letter, and all
+The model is fitted on about SAMPLE documents, about equally many of each language, and on twice as many at most where
+texts repeat (a documented bound). Every language is learned; more than LANGUAGES (a parameter, since weights are kept
+for each) are an error and never cut. All rows are predicted, from whole texts. Defined results: ``und`` with score 0 for null texts, texts without a letter, and all
 texts if no language is to be learned; ties go to the language that is first by code point; repeated rows and other
 columns play no part.
 """
@@ -24,6 +25,7 @@ from arborlake.llm.training import remainder
 from arborlake.llm.shared import slices
 
 SAMPLE = 6_000
+LANGUAGES = 1_000
 WIDTH = 1 << 14
 DOCUMENTS = 128
 UNKNOWN = "und"
@@ -136,10 +138,12 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(at, pa.list_(pa.int16())), pa.array(number, pa.list_(pa.int32()))], names=["ord", "lang", "at", "number"])
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, rows: int = SAMPLE, languages: int = LANGUAGES) -> Model:
     """``docs``: doc_id, text, lang. Only rows of remainders other than 2 with a lang and a letter are learned from."""
     usable = docs.where(F.col("lang").isNotNull() & (remainder(4) != 2) & F.col("text").rlike(r"\p{L}"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()  # a bounded number of languages
+    sizes = usable.groupBy("lang").count().orderBy("lang").limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} values of lang: the parameter languages bounds what the model keeps")
     if not sizes:
         return Model([])
     each = rows / len(sizes)
