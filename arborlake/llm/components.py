@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import measured, written
+from arborlake.llm.shared import free, measured, written
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,8 +24,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.join(least, F.col("hi") == F.col("at")).where("lo > hi and lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo")).distinct()
         down = large.groupBy(F.col("hi").alias("at")).agg(F.min("lo").alias("to"))
         small = large.join(down, F.col("hi") == F.col("at")).where("lo != to").select(F.col("lo").alias("hi"), F.col("to").alias("lo"))
-        links = F.struct("hi", "lo")
+        links, last = F.struct("hi", "lo"), now
         now, seen = measured(small.union(down.select("at", "to")).distinct(), "links", n=F.count("*"), sum=F.sum(F.xxhash64(links).cast("decimal(38,0)")))
+        free(last, least)
         if seen == mark or not seen["n"]:
             break
         mark = seen

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import slices, text_key, written
+from arborlake.llm.shared import free, slices, text_key, written
 
 LENGTH = 400
 WORDS = 51
@@ -342,7 +342,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
                                 [(False, "lo", "lo"), (False, "hi", "hi"), (True, "lo", "words_lo"), (True, "hi", "words_hi")]]
     )
     # a set: the spans of a row that is repeated are those of one
-    return settled.union(whole).union(partly).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
+    spans = settled.union(whole).union(partly).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
+    spans = written(spans, "spans")
+    free(blocks, active, prefixes, bytewise, twice)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -365,7 +368,7 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 def _with_spans(docs: DataFrame, *windows: int) -> DataFrame:
     keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    spans = written(repeated_spans(keyed, *windows), "spans").select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
+    spans = repeated_spans(keyed, *windows).select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
     whole = docs.withColumn("__r_own", text_key())
     return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.col("__r_own") == F.col("__r_key")), "left")
 

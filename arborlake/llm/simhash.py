@@ -3,8 +3,10 @@
 Fingerprints are made once per text. Different fingerprints meet in buckets by equal bit blocks: of b blocks, two
 fingerprints that differ in at most r bits share at least b - r, so each set of b - r blocks is a key (with b = r + 1,
 every single block). b follows the number of fingerprints, so that buckets stay small. Inside a bucket a table of
-Hamming distances to reference fingerprints is made; a pair whose distances to any reference differ by more than r
-cannot be within r (triangle inequality) and is discarded; survivors are verified. Buckets above TILE fingerprints are
+Hamming distances to reference fingerprints is made. Distances to a reference of two fingerprints within r differ by r
+at most (triangle inequality), so rows are sorted by the distance to the reference that spreads them most, and only
+pairs within r there are made; they are discarded by their maximum difference over all references, and survivors are
+verified. Buckets above TILE fingerprints are
 split into tiles that meet pairwise, each pair of tiles in its own group. A bucket gives a spanning forest of its links,
 never all pairs.
 
@@ -86,14 +88,24 @@ def block_keys(count: int, radius: int = RADIUS) -> list[tuple[int, ...]]:
     return masks
 
 
+def candidates(table: np.ndarray, a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a and b (None: of a alone) whose distances to the most spread reference differ by ``radius`` at most."""
+    column = table[:, table.std(axis=0).argmax()].astype(np.int64)
+    a = a[np.argsort(column[a], kind="stable")]
+    if b is None:
+        b, first = a, np.arange(1, len(a) + 1)
+    else:
+        b = b[np.argsort(column[b], kind="stable")]
+        first = np.searchsorted(column[b], column[a] - radius, side="left")
+    count = np.maximum(np.searchsorted(column[b], column[a] + radius, side="right") - first, 0)
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(a, count), b[np.repeat(first, count) + inside]
+
+
 def _near(values: np.ndarray, tile: np.ndarray, left: int, right: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices of linked pairs of one group: within a tile, or between two tiles."""
     table = np.bitwise_count(values[:, None] ^ references()[None, :]).astype(np.int8)
-    if left == right:
-        i, j = np.triu_indices(len(values), 1)
-    else:
-        a, b = np.flatnonzero(tile == left), np.flatnonzero(tile == right)
-        i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+    i, j = candidates(table, np.flatnonzero(tile == left), None if left == right else np.flatnonzero(tile == right), radius)
     for k in range(table.shape[1]):
         if len(i) == 0:
             break
@@ -183,7 +195,9 @@ def rooted(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
     prints, named = rooted(docs, radius)
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
+    # tables of their own, so that the join below can split a component that holds much
+    named = written(named, "named")
+    smallest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     classes = named.select(F.col("fp").alias("c_fp"), F.col("root").alias("c_root")).join(
         smallest.withColumnRenamed("root", "s_root"), F.col("c_root") == F.col("s_root")
     )
