@@ -1,7 +1,9 @@
 """Exact top-k inner products with an impact-ordered index, read score at a time.
 
-Components are quantised to integers, ``floor(scale * x)``. Vectors are dealt into shards and queries into blocks; a
-(shard, block) is one task's group, so that queries meet all rows without a cross join and in bounded memory.
+Components are quantised to integers, ``floor(scale * x)``. Vectors are dealt into shards of about SHARD rows. Queries
+are sent to every shard and streamed past its index in Arrow batches, so a task holds one index and one batch of
+queries, however many there are. Beyond BLOCK queries shards are repeated, once for each BLOCK, so that one shard's
+queries can be shared by tasks. What is sent grows with queries times shards, as exact search over all rows must.
 
 A shard's index has for each dimension its vectors in segments of similar components (LEVELS equal steps between the
 dimension's extremes). For a query, a segment's impact is the greatest product that a member can have there, less the
@@ -12,12 +14,14 @@ reach the k-th best lower bound, or at the end; all possible members are then sc
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, as queries and as
 candidates; so do rows without vec_id; vectors of unequal lengths are not compared; rows repeated with the same vec_id
-and components count once, and rows with the query's vec_id never answer it; ties go to the smaller vec_id; empty
-tables give no rows; other columns are not read.
+and components count once, and rows with the query's vec_id never answer it; ties go to the smaller vec_id; scores
+beyond 64 bits are computed with unbounded integers and count as the greatest or smallest 64-bit number; empty tables
+give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +32,9 @@ from arborlake.llm.shared import measured
 
 SCALE = 1024
 SHARD = 16_384
-BLOCK = 1_024
+BLOCK = 65_536
 LEVELS = 8
+WIDE = float(1 << 62)
 RESCORE = 256
 
 
@@ -38,7 +43,12 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, levels: int = LEVELS) -> None:
         order = np.argsort(ids, kind="stable")
-        self.ids, self.x = ids[order], x[order].astype(np.int64)
+        self.ids, self.width = ids[order], x.shape[1]
+        self.greatest = float(np.abs(x).max(initial=0))
+        self.whole = x[order]
+        if self.greatest >= WIDE:
+            return  # every query is answered with unbounded integers
+        self.x = self.whole.astype(np.int64)
         self.members: list[np.ndarray] = []
         dimension, low, high = [], [], []
         for d in range(self.x.shape[1]):
@@ -53,11 +63,13 @@ class ImpactIndex:
                 low.append(v[by[a]])
                 high.append(v[by[b - 1]])
         self.dimension, self.low, self.high = np.array(dimension), np.array(low), np.array(high)
-        self.width = self.x.shape[1]
 
     def search(self, q: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best (ties: smaller id), without the rows of id ``skip``."""
         n = len(self.ids)
+        if max(self.greatest, 1) * max(float(np.abs(q).max(initial=0)), 1) * self.width >= WIDE:
+            return self.search_wide(q, k, skip)
+        q = q.astype(np.int64)
         weight = q[self.dimension]
         most = np.maximum(weight * self.low, weight * self.high)
         least = np.minimum(weight * self.low, weight * self.high)
@@ -98,26 +110,63 @@ class ImpactIndex:
         return self.ids[possible][best], score[best]
 
 
+    def search_wide(self, q: np.ndarray, k: int, skip: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """The same where scores may leave 64 bits: all members, exactly."""
+        ask = [int(v) for v in q]
+        scores = [sum(a * int(b) for a, b in zip(ask, row)) for row in self.whole]
+        score = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in scores], dtype=np.int64)
+        at = np.flatnonzero(self.ids != skip) if skip is not None else np.arange(len(self.ids))
+        best = at[np.lexsort((self.ids[at], ~score[at]))][:k]
+        return self.ids[best], score[best]
+
+
 def quantised(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")).cast("long"))
+    """Whole numbers, as doubles: beyond 2^53 a double is whole already."""
+
+    def one(v: Column) -> Column:
+        scaled = F.lit(float(scale)) * v.cast("double")
+        return F.when(F.abs(scaled) < float(1 << 53), F.floor(scaled).cast("double")).otherwise(scaled)
+
+    return F.transform(vector, one)
+
+
+GROUP = ["size", "shard", "block"]
 
 
 def _search(k: int):
-    def group(key: tuple, table: pa.Table) -> pa.Table:
-        asked = table.column("asked").to_numpy(zero_copy_only=False)
-        ids = table.column("vec_id").to_numpy()
-        x = np.stack(table.column("x").to_numpy(zero_copy_only=False)).astype(np.int64)
-        index = ImpactIndex(ids[~asked], x[~asked]) if (~asked).any() else None
-        q_id, v_id, score = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        if index:
-            for name, q in zip(ids[asked].tolist(), x[asked]):
-                found, s = index.search(q, k, name)
-                q_id.append(np.full(len(found), name))
-                v_id.append(found)
-                score.append(s)
-        return pa.table({"query_id": np.concatenate(q_id), "vec_id": np.concatenate(v_id), "score": np.concatenate(score)})
-
-    return group
+    """Rows come sorted by group, the members of its shard first; queries are answered batch by batch."""
+    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def stack(parts: list[pa.Array]) -> np.ndarray:
+        flat = pa.chunked_array(parts).combine_chunks()
+        return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, parts, index = None, [], [], None
+        for batch in batches:
+            columns = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*GROUP, "asked")])
+            cuts = np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(columns)]):
+                if a == b:
+                    continue
+                if tuple(columns[a, :3]) != key:
+                    key, ids, parts, index = tuple(columns[a, :3]), [], [], None
+                names, x = batch.column("vec_id").slice(a, b - a).to_numpy(), batch.column("x").slice(a, b - a)
+                if not columns[a, 3]:
+                    ids.append(names)
+                    parts.append(x)
+                    continue
+                if index is None:
+                    if not ids:
+                        continue
+                    index = ImpactIndex(np.concatenate(ids), stack(parts))
+                    parts = []
+                found = [(name, *index.search(q, k, name)) for name, q in zip(names.tolist(), stack([x]))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(names, [len(f[1]) for f in found])), *[pa.array(np.concatenate([f[c] for f in found])) for c in (1, 2)]], schema=schema
+                )
+
+    return run
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE) -> DataFrame:
@@ -129,9 +178,10 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: int = SCALE)
     shards, blocks = max(1, -(-seen["rows"] // SHARD)), max(1, -(-seen["queries"] // BLOCK))
     many = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     deal = lambda n: F.pmod(F.xxhash64(F.lit(11), "vec_id", "x"), F.lit(n)).cast("int")
-    candidates = rows.select(F.lit(False).alias("asked"), "vec_id", "x", F.size("x").alias("size"), deal(shards).alias("shard"), many(blocks).alias("block"))
+    members = rows.select(F.lit(False).alias("asked"), "vec_id", "x", F.size("x").alias("size"), deal(shards).alias("shard"), many(blocks).alias("block"))
     asked = rows.where("query").select(F.lit(True).alias("asked"), "vec_id", "x", F.size("x").alias("size"), many(shards).alias("shard"), deal(blocks).alias("block"))
-    found = candidates.unionByName(asked).groupBy("size", "shard", "block").applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    dealt = members.unionByName(asked).repartition(*GROUP).sortWithinPartitions(*GROUP, "asked")
+    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -142,7 +192,7 @@ def op2(vectors: DataFrame) -> DataFrame:
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
