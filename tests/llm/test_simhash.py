@@ -64,6 +64,20 @@ def test_tiles_give_the_same_links(spark):
     assert roots[0] == roots[1] and len(roots[0]) > 500
 
 
+def test_pivots_make_fewer_pairs_and_lose_none():
+    rnd = np.random.default_rng(8)
+    values = rnd.integers(0, 2**64, 300, dtype=np.uint64)
+    values[1::3] = values[::3] ^ (np.uint64(1) << rnd.integers(0, 64, 100).astype(np.uint64))
+    table = np.bitwise_count(values[:, None] ^ simhash.references()[None, :]).astype(np.int8)
+    near = lambda a, b: {(min(i, j), max(i, j)) for i in a for j in b if i != j and int(values[i] ^ values[j]).bit_count() <= 4}
+    a, b = np.arange(0, 140), np.arange(140, 300)
+    for left, right, most in ((np.arange(300), None, 300 * 299 // 2), (a, b, len(a) * len(b))):
+        i, j = simhash.candidates(table, left, right, 4)
+        made = set(zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist()))
+        assert len(made) == len(i) < 0.75 * most
+        assert near(left, left if right is None else right) <= made
+
+
 def test_masks_cover_all_close_pairs():
     rnd = np.random.default_rng(2)
     for count in (10, 10**8, 10**11):

@@ -36,9 +36,11 @@ def brute(rows):
 def test_near_duplicates(spark, monkeypatch):
     rows = vectors()
     links, top = brute(rows)
-    for cell, tile in ((2000, 1024), (20, 7)):
+    for cell, tile, fanout in ((2000, 1024, 32), (20, 7, 4), (6, 5, 2)):
         monkeypatch.setattr(embeddings, "CELL", cell)
         monkeypatch.setattr(embeddings, "TILE", tile)
+        monkeypatch.setattr(embeddings, "FANOUT", fanout)
+        monkeypatch.setattr(embeddings, "GROUP_ROWS", 50)
         got = {r["vec_id"]: r for r in embeddings.op1(table(spark, rows + ODD)).collect()}
         assert len(got) == len(rows) + len(ODD)
         assert [got[i]["n_links"] for i in range(len(rows))] == links.tolist()
@@ -47,6 +49,25 @@ def test_near_duplicates(spark, monkeypatch):
         assert all(got[r[0]]["n_links"] == 0 for r in ODD if r[0] != 907)
 
 
+def test_every_label_has_cells(spark, monkeypatch):
+    """500 vectors go through k-means cells, level by level, and no linked pair is without a common cell."""
+    rows = vectors(500, 4)
+    classes = spark.createDataFrame([(i, v, label, 1) for i, v, label in rows], "class long, vector array<float>, label int, copies long")
+    for cell, levels in ((2000, 1), (20, 2)):
+        monkeypatch.setattr(embeddings, "CELL", cell)
+        monkeypatch.setattr(embeddings, "FANOUT", 4)
+        placed = embeddings.cells(classes, float(np.sqrt(0.04))).toPandas()
+        home = placed[placed.home]
+        assert sorted(home["class"]) == [r[0] for r in rows] and placed.cell.nunique() >= 2 * levels
+        assert cell == 2000 or placed.cell.max() > 4
+        at = placed.groupby("class").cell.agg(set)
+        x = np.array([r[1] for r in rows])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.98, 1))):
+            if rows[i][2] == rows[j][2]:
+                assert home.set_index("class").cell[i] in at[j]
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (6, [0.0, 1.0], 1)]
     got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.op1(table(spark, rows)).collect())
@@ -68,6 +89,15 @@ def test_top_k(spark, monkeypatch):
     assert topk.op2(table(spark, [(100, [1.0], 1)])).count() == 0
 
 
+def test_scores_beyond_64_bits(spark):
+    big = 3e38
+    rows = [(100, [big, 1.0], 0), (1, [big, 0.0], 0), (2, [-big, 5.0], 0), (3, [0.0, 2.0], 0), (4, [big, 9.0], 0), (200, [3e6, 3e6], 0), (5, [3e6, 3e6], 0)]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.op2(table(spark, rows)).collect()}
+    most = 2**63 - 1
+    assert [got[100, k] for k in range(1, 7)] == [(1, most), (4, most), (5, most), (200, most), (3, 1024 * 2048), (2, -most - 1)]
+    assert [got[200, k] for k in range(1, 5)] == [(1, most), (4, most), (5, most), (100, most)]
+
+
 def test_the_index_stops_early_on_proof():
     rnd = np.random.default_rng(3)
     x = rnd.integers(-30, 30, (5000, 4))
