@@ -17,11 +17,16 @@ Shards exchange block sizes only, never suffixes that are settled, at these dept
 1. one symbol: in a block with one suffix in all shards no window repeats;
 2. the symbols that spell all windows of a sample: if a block does not split there, its common prefix covers the
    windows and all of them repeat; so do those of a prefix that occurs twice in a block that splits;
-3. the windows of what is left, byte by byte, against the windows of one suffix for each prefix of their block.
+3. the symbols that all LENGTH bytes of a sample hold: if all suffixes with this inner run have one prefix, no byte
+   window is left there;
+4. what is left, byte by byte, against one suffix for each prefix of its block: passages, and cells of CELL windows;
+   a cell holds bytes that all its windows have, and a block of cells with these bytes is refined like any other, by
+   the bytes of all their windows;
+5. the single windows of cells that stay undecided.
 
 Suffixes of different shards are never sorted together, blocks are counted with partial sums and never gathered, and
 each round reads what the round before left. Prefixes of one block are told apart by 64-bit digests, so an error needs
-two of one block to agree by chance; windows have 128-bit digests.
+two of one block to agree by chance; bytes have 128-bit digests.
 
 Defined results: a null text is empty; texts under LENGTH bytes and without passages lose nothing; windows never cross
 documents; repeated rows repeat each other, whatever their doc_id; empty tables give no rows; other columns are not
@@ -46,7 +51,8 @@ WORDS = 51
 PASSAGE = 256
 GRAM = 8
 PIECE = 1 << 20
-BATCH = 1 << 15
+CELL = 8
+BATCH = 1 << 14
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -149,13 +155,13 @@ def _heads(values: np.ndarray) -> np.ndarray:
 
 
 def suffixes(texts: list[bytes], length: int, words: int, least: int) -> tuple[np.ndarray, ...]:
-    """For each sample with windows: text number, first window, windows, begin, end and number of its passages, block, prefix."""
+    """For each sample with windows: text number, first window, windows, sample, begin, end and number of its passages, block, inner run, prefix."""
     step, width = sampling(min(length, least))
     texts_at = np.flatnonzero(np.array([len(t) for t in texts]) >= min(length, least)) if texts else np.empty(0, np.int64)
     texts = [texts[i] for i in texts_at]
     none = np.empty(0, dtype=np.int32)
     if not texts:
-        return np.empty(0, np.int64), none, none, none, none, none, np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), none, none, none, none, none, none, *[np.empty(0, np.int64)] * 3
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     data = b"".join(texts)
@@ -207,13 +213,15 @@ def suffixes(texts: list[bytes], length: int, words: int, least: int) -> tuple[n
     x = np.searchsorted(at, begin, side="right") - 1
     y = np.searchsorted(stop, end)
     prefix = transform.prefixes(symbol, x, y - x + 1)
+    # the run of symbols that all LENGTH bytes with the sample hold
+    inner = transform.prefixes(block, some, np.maximum(np.searchsorted(at + width, at[some] + length - step + 1, side="right") - some, 1))
     shape = mixed(shape[some], mixed((at[some] - np.where(span[some] > 0, first[some], at[some])).astype(np.uint64) + (at[some] - at[x]).astype(np.uint64) * _A, span[some].astype(np.uint64)))
     base = starts[own[some]]
     bytes_from = np.where(span[some] > 0, first[some] - base, 0)
     words_from, words_to = np.where(p_hi[some] >= 0, p_lo[some] - base, 0), np.where(p_hi[some] >= 0, p_hi[some] - base, 0)
     return (
-        texts_at[own[some]], bytes_from.astype(np.int32), span[some].astype(np.int32), words_from.astype(np.int32), words_to.astype(np.int32), p_span[some].astype(np.int32),
-        block[some].view(np.int64), mixed(prefix, shape).view(np.int64),
+        texts_at[own[some]], bytes_from.astype(np.int32), span[some].astype(np.int32), (at[some] - base).astype(np.int32), words_from.astype(np.int32), words_to.astype(np.int32), p_span[some].astype(np.int32),
+        block[some].view(np.int64), inner.view(np.int64), mixed(prefix, shape).view(np.int64),
     )
 
 
@@ -239,7 +247,7 @@ def shard_blocks(docs: DataFrame, *windows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for _, texts in _runs(_texts(batch.column(0))):
-                *_, blocks, prefixes = suffixes(texts, *windows)
+                *_, blocks, _, prefixes = suffixes(texts, *windows)
                 order = np.lexsort((prefixes, blocks))
                 blocks, prefixes = blocks[order], prefixes[order]
                 heads = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(blocks) else np.empty(0, np.int64)
@@ -253,9 +261,9 @@ def shard_blocks(docs: DataFrame, *windows: int) -> DataFrame:
 
 
 def shard_suffixes(docs: DataFrame, *windows: int) -> DataFrame:
-    """doc_id, text_key, first, span, words_from, words_to, passages, block, prefix: each sample with its windows."""
+    """doc_id, text_key, first, span, sample, words_from, words_to, passages, block, inner, prefix: each sample with its windows."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "first", "span", "words_from", "words_to", "passages", "block", "prefix"]
+    names = ["doc_id", "text_key", "first", "span", "sample", "words_from", "words_to", "passages", "block", "inner", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -264,52 +272,93 @@ def shard_suffixes(docs: DataFrame, *windows: int) -> DataFrame:
                 take = pa.array(own + at)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names=names)
 
-    schema = f"doc_id {kind}, text_key long, first int, span int, words_from int, words_to int, passages int, block long, prefix long"
+    schema = f"doc_id {kind}, text_key long, first int, span int, sample int, words_from int, words_to int, passages int, block long, inner long, prefix long"
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
-def windows_of(docs: DataFrame, asked: DataFrame, length: int, words: int, least: int) -> DataFrame:
-    """doc_id, text_key, lo, hi, passage, alone, digest: the windows of the asked suffixes, one row each."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    asked = asked.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.struct("first", "span", "words_from", "passages", "alone").alias("one"))
-    lists = asked.groupBy("w_id", "w_key").agg(F.collect_list("one").alias("asked"))  # at most the samples of one text
-    # a repeated row is looked at once; its windows are asked for once
+def _asked(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
+    """doc_id, text_key, text, asked: the texts of the asked rows, each text once, with what is asked of it."""
+    lists = asked.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.struct(*columns).alias("one"))
+    lists = lists.groupBy("w_id", "w_key").agg(F.collect_list("one").alias("asked"))  # at most the windows of one text
     once = docs.dropDuplicates(["doc_id", "text_key"])
     joined = once.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
-    joined = joined.select("doc_id", "text_key", "text", "asked")
+    return joined.select("doc_id", "text_key", "text", "asked")
 
-    def found(text: bytes, asked: list[dict]) -> Iterator[tuple[int, int, bool, bool]]:
-        lo, hi = passages(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64), np.array([len(text)]), words, least)
-        for one in asked:
-            for a in range(one["first"], one["first"] + one["span"]):
-                yield a, a + length, False, one["alone"]
-            p = np.searchsorted(lo, one["words_from"])
-            for a, b in zip(lo[p : p + one["passages"]].tolist(), hi[p : p + one["passages"]].tolist()):
-                yield a, b, True, one["alone"]
+
+def _digested(asked: DataFrame, pieces, names: str, types: list[pa.DataType]) -> DataFrame:
+    """doc_id, text_key and the rows that ``pieces`` makes of each text and what is asked of it, BATCH rows at a time."""
+    kind = asked.schema["doc_id"].dataType.simpleString()
+    fields = ["doc_id", "text_key", *(n.split()[0] for n in names.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for batch in slices(batches, 64):
+            own: list[int] = []
             rows: list[tuple] = []
 
             def flush() -> pa.RecordBatch:
-                own, lo, hi, passage, alone, digests = zip(*rows)
                 take = pa.array(own, pa.int64())
-                arrays = [pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(passage), pa.array(alone), pa.array(digests, pa.binary())]
+                made = pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names=fields)
+                own.clear()
                 rows.clear()
-                return pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *arrays], names=["doc_id", "text_key", "lo", "hi", "passage", "alone", "digest"])
+                return made
 
             for i in range(batch.num_rows):
-                text = batch.column(2)[i].as_py().encode()
-                view = memoryview(text)
-                for lo, hi, passage, alone in found(text, batch.column(3)[i].as_py()):
-                    rows.append((i, lo, hi, passage, alone, digest(view[lo:hi])))
+                for row in pieces(batch.column(2)[i].as_py().encode(), batch.column(3)[i].as_py()):
+                    own.append(i)
+                    rows.append(row)
                     if len(rows) >= BATCH:
                         yield flush()
             if rows:
                 yield flush()
 
-    return joined.mapInArrow(run, f"doc_id {kind}, text_key long, lo int, hi int, passage boolean, alone boolean, digest binary")
+    return asked.mapInArrow(run, f"doc_id {kind}, text_key long, {names}")
+
+
+def _two(data: memoryview) -> tuple[int, int]:
+    digest = xxhash.xxh3_128_intdigest(data)
+    return (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+
+
+def cells_of(docs: DataFrame, asked: DataFrame, length: int, words: int, least: int) -> DataFrame:
+    """doc_id, text_key, lo, number, hi, alone, inner, outer, outer2: the cells and passages (number 0) of the asked suffixes.
+
+    Cells lie on a grid that the sample gives. inner: bytes that all windows of the grid's cell hold; outer: those of
+    the windows that are there, lo to hi.
+    """
+
+    def pieces(text: bytes, asked: list[dict]) -> Iterator[tuple]:
+        view = memoryview(text)
+        lo, hi = passages(np.frombuffer(text, dtype=np.uint8), np.zeros(1, np.int64), np.array([len(text)]), words, least) if any(a["passages"] for a in asked) else (None, None)
+        for one in asked:
+            a, stop, sample, alone = one["first"], one["first"] + one["span"], one["sample"], one["alone"]
+            while a < stop:
+                grid = sample + (a - sample) // CELL * CELL
+                b = min(grid + CELL, stop)
+                inner = xxhash.xxh3_64_intdigest(view[grid + CELL - 1 : grid + length]) if length >= CELL else 0
+                outer = _two(view[a : b - 1 + length])
+                yield a, b - a, b - 1 + length, alone, inner - (1 << 63), outer[0] ^ (a - grid) << 8 ^ (b - a), outer[1]
+                a = b
+            if one["passages"]:
+                p = np.searchsorted(lo, one["words_from"])
+                for x, y in zip(lo[p : p + one["passages"]].tolist(), hi[p : p + one["passages"]].tolist()):
+                    outer = _two(view[x:y])
+                    yield x, 0, y, alone, outer[0] ^ outer[1], *outer
+
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+    names = "lo int, number int, hi int, alone boolean, inner long, outer long, outer2 long"
+    return _digested(_asked(docs, asked, ["first", "span", "sample", "words_from", "passages", "alone"]), pieces, names, types)
+
+
+def windows_of(docs: DataFrame, asked: DataFrame, length: int) -> DataFrame:
+    """doc_id, text_key, lo, alone, digest, digest2: the windows of the asked cells, one row each."""
+
+    def pieces(text: bytes, asked: list[dict]) -> Iterator[tuple]:
+        view = memoryview(text)
+        for one in asked:
+            for a in range(one["lo"], one["lo"] + one["number"]):
+                yield a, one["alone"], *_two(view[a : a + length])
+
+    return _digested(_asked(docs, asked, ["lo", "number", "alone"]), pieces, "lo int, alone boolean, digest long, digest2 long", [pa.int32(), pa.bool_(), pa.int64(), pa.int64()])
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int = PASSAGE) -> DataFrame:
@@ -330,24 +379,45 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     active = written(active, "suffixes")
     settled = active.where("not splits").select(*cut)
     split = active.where("splits")
-    one = F.struct("doc_id", "text_key", "first", "span", "words_from", "passages")
-    prefixes = written(split.groupBy("block", "prefix").agg(F.count("*").alias("n"), F.min(one).alias("one")), "prefixes")
+    one = F.struct("doc_id", "text_key", "first", "span", "sample", "words_from", "passages")
+    prefixes = split.groupBy("block", "prefix").agg(F.count("*").alias("n"), F.min("inner").alias("inner"), F.min(one).alias("one"))
+    prefixes = written(prefixes, "prefixes")  # the prefix spells the inner run, so its suffixes have the same one
     shared = prefixes.where("n > 1").select(F.col("block").alias("c_block"), F.col("prefix").alias("c_prefix"))
     whole = split.join(shared, (F.col("block") == F.col("c_block")) & (F.col("prefix") == F.col("c_prefix"))).select(*cut)
-    bytewise = written(windows_of(docs, prefixes.select("one.*", (F.col("n") == 1).alias("alone")), length, words, least), "windows")
-    twice = bytewise.groupBy(F.col("digest").alias("d_digest"), F.col("passage").alias("d_passage")).agg(F.count("*").alias("n")).where("n > 1")
+    inners = _undecided(prefixes, "inner")
+    asked = prefixes.join(inners, F.col("inner") == F.col("u_inner"), "left").select("one.*", (F.col("n") == 1).alias("alone"), "u_inner")
+    asked = asked.withColumn("span", F.when(F.col("u_inner").isNotNull(), F.col("span")).otherwise(0)).where("span > 0 or passages > 0")
+    # cells, in the same way: a block has the inner bytes, its cells are refined by the outer ones
+    parts = written(cells_of(docs, asked, length, words, least), "parts")
+    one = F.struct("doc_id", "text_key", "lo", "number", "alone")
+    kinds = written(parts.groupBy("inner", "outer", "outer2").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
+    shared = kinds.where("n > 1").select(F.col("outer").alias("c_outer"), F.col("outer2").alias("c_outer2"), F.col("inner").alias("c_inner"))
+    same = (F.col("outer") == F.col("c_outer")) & (F.col("outer2") == F.col("c_outer2")) & (F.col("inner") == F.col("c_inner"))
+    found = parts.where("alone").join(shared, same)
+    partly = found.select("doc_id", "text_key", *[F.when((F.col("number") == 0) == words_too, F.col(c)).otherwise(F.lit(0)).alias(to) for words_too, c, to in
+                          [(False, "lo", "lo"), (False, "hi", "hi"), (True, "lo", "words_lo"), (True, "hi", "words_hi")]])
+    undecided = _undecided(kinds.where("one.number > 0"), "inner")
+    asked = kinds.where("one.number > 0").join(undecided, F.col("inner") == F.col("u_inner"))
+    asked = asked.select("one.doc_id", "one.text_key", "one.lo", "one.number", ((F.col("n") == 1) & F.col("one.alone")).alias("alone"))
+    single = written(windows_of(docs, asked, length), "windows")
+    twice = single.groupBy(F.col("digest").alias("d_digest"), F.col("digest2").alias("d_digest2")).agg(F.count("*").alias("n")).where("n > 1")
     twice = written(twice, "twice")
-    partly = bytewise.where("alone").join(twice, (F.col("digest") == F.col("d_digest")) & (F.col("passage") == F.col("d_passage"))).select(
-        "doc_id", "text_key", *[F.when(F.col("passage") == of, F.col(c)).otherwise(F.lit(0)).alias(to) for of, c, to in
-                                [(False, "lo", "lo"), (False, "hi", "hi"), (True, "lo", "words_lo"), (True, "hi", "words_hi")]]
-    )
+    last = single.where("alone").join(twice, (F.col("digest") == F.col("d_digest")) & (F.col("digest2") == F.col("d_digest2"))).select(
+        "doc_id", "text_key", "lo", (F.col("lo") + length).alias("hi"), F.lit(0).alias("words_lo"), F.lit(0).alias("words_hi")
+    )
     # a set: the spans of a row that is repeated are those of one
-    spans = settled.union(whole).union(partly).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
+    spans = settled.union(whole).union(partly).union(last).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
     spans = written(spans, "spans")
-    free(blocks, active, prefixes, bytewise, twice)
+    free(blocks, active, prefixes, inners, parts, kinds, undecided, single, twice)
     return spans
 
 
+def _undecided(kinds: DataFrame, inner: str) -> DataFrame:
+    """u_inner: the blocks that hold more than one kind, as a table of its own that a skewed join can read."""
+    many = kinds.groupBy(F.col(inner).alias("u_inner")).agg(F.count("*").alias("kinds")).where("kinds > 1")
+    return written(many.select("u_inner"), "undecided")
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping and touching spans made one, in order; empty ones are left out."""
     out: list[tuple[int, int]] = []
