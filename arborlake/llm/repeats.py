@@ -277,11 +277,11 @@ def shard_suffixes(docs: DataFrame, *windows: int) -> DataFrame:
 
 
 def _asked(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
-    """doc_id, text_key, text, asked: the texts of the asked rows, each text once, with what is asked of it."""
+    """doc_id, text_key, text, asked: the texts of the asked rows, with what is asked of them."""
     lists = asked.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.struct(*columns).alias("one"))
     lists = lists.groupBy("w_id", "w_key").agg(F.collect_list("one").alias("asked"))  # at most the windows of one text
-    once = docs.dropDuplicates(["doc_id", "text_key"])
-    joined = once.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
+    # a repeated row is asked twice about windows that are not alone, which changes no result
+    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
     return joined.select("doc_id", "text_key", "text", "asked")
 
 
@@ -377,6 +377,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     blocks = written(blocks.where("suffixes > 1").select("b_block", (F.col("low") != F.col("high")).alias("splits")), "blocks")
     active = shard_suffixes(docs, length, words, least).join(blocks, F.col("block") == F.col("b_block")).drop("b_block")
     active = written(active, "suffixes")
+    free(blocks)
     settled = active.where("not splits").select(*cut)
     split = active.where("splits")
     one = F.struct("doc_id", "text_key", "first", "span", "sample", "words_from", "passages")
@@ -389,6 +390,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     asked = asked.withColumn("span", F.when(F.col("u_inner").isNotNull(), F.col("span")).otherwise(0)).where("span > 0 or passages > 0")
     # cells, in the same way: a block has the inner bytes, its cells are refined by the outer ones
     parts = written(cells_of(docs, asked, length, words, least), "parts")
+    free(inners)
     one = F.struct("doc_id", "text_key", "lo", "number", "alone")
     kinds = written(parts.groupBy("inner", "outer", "outer2").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
     shared = kinds.where("n > 1").select(F.col("outer").alias("c_outer"), F.col("outer2").alias("c_outer2"), F.col("inner").alias("c_inner"))
@@ -400,6 +402,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     asked = kinds.where("one.number > 0").join(undecided, F.col("inner") == F.col("u_inner"))
     asked = asked.select("one.doc_id", "one.text_key", "one.lo", "one.number", ((F.col("n") == 1) & F.col("one.alone")).alias("alone"))
     single = written(windows_of(docs, asked, length), "windows")
+    free(undecided)
     twice = single.groupBy(F.col("digest").alias("d_digest"), F.col("digest2").alias("d_digest2")).agg(F.count("*").alias("n")).where("n > 1")
     twice = written(twice, "twice")
     last = single.where("alone").join(twice, (F.col("digest") == F.col("d_digest")) & (F.col("digest2") == F.col("d_digest2"))).select(
@@ -408,7 +411,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     # a set: the spans of a row that is repeated are those of one
     spans = settled.union(whole).union(partly).union(last).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("lo", "hi", "words_lo", "words_hi")).alias("spans"))
     spans = written(spans, "spans")
-    free(blocks, active, prefixes, inners, parts, kinds, undecided, single, twice)
+    free(active, prefixes, parts, kinds, single, twice)
     return spans
 
 

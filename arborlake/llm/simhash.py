@@ -189,14 +189,14 @@ def rooted(docs: DataFrame, radius: int = RADIUS) -> tuple[DataFrame, DataFrame]
     prints = written(fingerprints(docs), "fingerprints")
     values, seen = measured(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "values", n=F.count("*"))
     roots = connected_components(fingerprint_links(values.select("fp"), seen["n"], radius))
-    return prints, values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    named = values.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    # a table of its own, so that joins by fp or root can split one that holds much
+    return prints, written(named, "named")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, text_key, fp, component_id for each row of ``docs`` (doc_id, text)."""
     prints, named = rooted(docs, radius)
-    # tables of their own, so that the join below can split a component that holds much
-    named = written(named, "named")
     smallest = written(named.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")
     classes = named.select(F.col("fp").alias("c_fp"), F.col("root").alias("c_root")).join(
         smallest.withColumnRenamed("root", "s_root"), F.col("c_root") == F.col("s_root")
