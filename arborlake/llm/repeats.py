@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import free, slices, text_key, written
+from arborlake.llm.shared import free, measured, slices, text_key, written
 
 LENGTH = 400
 WORDS = 51
@@ -53,6 +53,8 @@ GRAM = 8
 PIECE = 1 << 20
 CELL = 8
 BATCH = 1 << 14
+#: Texts whose keys are broadcast at most (some 10 MB), to leave other texts where they are; beyond it all texts are shuffled.
+FEW = 200_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 
 
@@ -261,25 +263,54 @@ def shard_blocks(docs: DataFrame, *windows: int) -> DataFrame:
 
 
 def shard_suffixes(docs: DataFrame, *windows: int) -> DataFrame:
-    """doc_id, text_key, first, span, sample, words_from, words_to, passages, block, inner, prefix: each sample with its windows."""
+    """doc_id, text_key, near, far, block, inner, prefix: each sample with its windows, packed (see ``_unpacked``)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "text_key", "first", "span", "sample", "words_from", "words_to", "passages", "block", "inner", "prefix"]
+    names = ["doc_id", "text_key", "near", "far", "block", "inner", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             for at, texts in _runs(_texts(batch.column(2))):
-                own, *columns = suffixes(texts, *windows)
+                own, *places, block, inner, prefix = suffixes(texts, *windows)
+                first, span, sample, words_from, words_to, number = (c.astype(np.int64) for c in places)
+                near = sample << 32 | np.where(span > 0, sample - first, 0) << 16 | span
+                far = np.where(number > 0, sample - words_from, 0) << 48 | number << 32 | np.where(number > 0, words_to - sample, 0)
                 take = pa.array(own + at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, columns)], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *map(pa.array, (near, far, block, inner, prefix))], names=names)
 
-    schema = f"doc_id {kind}, text_key long, first int, span int, sample int, words_from int, words_to int, passages int, block long, inner long, prefix long"
+    schema = f"doc_id {kind}, text_key long, near long, far long, block long, inner long, prefix long"
     return docs.select("doc_id", "text_key", "text").mapInArrow(run, schema)
 
 
+def _unpacked(rows: DataFrame) -> DataFrame:
+    """The same with first, span, sample, words_from, words_to and passages as columns; distances to a sample are under 2^15."""
+    part = lambda c, at, bits: F.shiftright(c, at).bitwiseAND(F.lit((1 << bits) - 1))
+    sample, far, near = F.shiftright("near", 32), F.col("far"), F.col("near")
+    places = {
+        "first": F.when(part(near, 0, 16) > 0, sample - part(near, 16, 16)).otherwise(0), "span": part(near, 0, 16), "sample": sample,
+        "words_from": F.when(part(far, 32, 16) > 0, sample - part(far, 48, 15)).otherwise(0),
+        "words_to": F.when(part(far, 32, 16) > 0, sample + part(far, 0, 32)).otherwise(0), "passages": part(far, 32, 16),
+    }
+    return rows.withColumns({k: v.cast("int") for k, v in places.items()}).drop("near", "far")
+
+
+def _of(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id and text_key are among ``keys`` (k_id, k_key), or are not: left_semi or left_anti."""
+    return docs.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), how)
+
+
+def _keys(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """k_id, k_key: the texts that the rows are about, and whether they are few enough for a broadcast."""
+    keys, seen = measured(rows.select(F.col("doc_id").alias("k_id"), F.col("text_key").alias("k_key")).distinct(), "keys", n=F.count("*"))
+    return keys, seen["n"] <= FEW
+
+
 def _asked(docs: DataFrame, asked: DataFrame, columns: list[str]) -> DataFrame:
     """doc_id, text_key, text, asked: the texts of the asked rows, with what is asked of them."""
     lists = asked.select(F.col("doc_id").alias("w_id"), F.col("text_key").alias("w_key"), F.struct(*columns).alias("one"))
     lists = lists.groupBy("w_id", "w_key").agg(F.collect_list("one").alias("asked"))  # at most the windows of one text
+    keys, few = _keys(asked)
+    if few:  # other texts need not be shuffled
+        docs = _of(docs, keys, "left_semi")
     # a repeated row is asked twice about windows that are not alone, which changes no result
     joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key")))
     return joined.select("doc_id", "text_key", "text", "asked")
@@ -376,7 +407,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     # a table of its own, so that the join below can split a block that holds many suffixes
     blocks = written(blocks.where("suffixes > 1").select("b_block", (F.col("low") != F.col("high")).alias("splits")), "blocks")
     active = shard_suffixes(docs, length, words, least).join(blocks, F.col("block") == F.col("b_block")).drop("b_block")
-    active = written(active, "suffixes")
+    active = written(_unpacked(active), "suffixes")
     free(blocks)
     settled = active.where("not splits").select(*cut)
     split = active.where("splits")
@@ -440,10 +471,18 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, *windows: int) -> DataFrame:
-    keyed = docs.select("doc_id", text_key().alias("text_key"), "text")
-    spans = repeated_spans(keyed, *windows).select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
+    """``docs`` and __r_spans; its columns may have any names but those that begin with __r_."""
+    spans = repeated_spans(docs.select("doc_id", text_key().alias("text_key"), "text"), *windows)
+    keys, few = _keys(spans)
+    spans = spans.select(F.col("doc_id").alias("__r_id"), F.col("text_key").alias("__r_key"), F.col("spans").alias("__r_spans"))
     whole = docs.withColumn("__r_own", text_key())
-    return whole.join(spans, F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.col("__r_own") == F.col("__r_key")), "left")
+    same = F.col("doc_id").eqNullSafe(F.col("__r_id")) & (F.col("__r_own") == F.col("__r_key"))
+    if not few:
+        return whole.join(spans, same, "left").select(*docs.columns, "__r_spans")
+    keys = F.broadcast(keys.toDF("__r_kid", "__r_kkey"))  # texts without spans need not be shuffled
+    mine = F.col("doc_id").eqNullSafe(F.col("__r_kid")) & (F.col("__r_own") == F.col("__r_kkey"))
+    clean = whole.join(keys, mine, "left_anti").select(*docs.columns, F.lit(None).cast(spans.schema["__r_spans"].dataType).alias("__r_spans"))
+    return clean.union(whole.join(keys, mine, "left_semi").join(spans, same).select(*docs.columns, "__r_spans"))
 
 
 def op10(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int = PASSAGE) -> DataFrame:

@@ -48,13 +48,20 @@ def test_against_brute_force(spark, documents):
     for length in (40, 57, 400):
         texts = [t.encode() for t in corpus(length)]
         docs = documents([(i, t.decode()) for i, t in enumerate(texts)])
-        for words, least in ((51, 256), (7, 40), (3, 41)):
+        for words, least in ((51, 256), (3, 41)):
             got = {r["doc_id"]: tuple(r[1:]) for r in repeats.op10(docs, length, words, least).collect()}
             assert [got[i][:4] for i in range(len(texts))] == brute(texts, length)
             want = cut([list(passages(t, words, least)) for t in texts], texts)
             assert [got[i][4:] for i in range(len(texts))] == [(w[2], w[1]) for w in want]
 
 
+def test_many_texts_are_shuffled(spark, documents, monkeypatch):
+    monkeypatch.setattr(repeats, "FEW", 0)
+    texts = [t.encode() for t in corpus(40)]
+    got = {r["doc_id"]: tuple(r[1:5]) for r in repeats.op10(documents([(i, t.decode()) for i, t in enumerate(texts)]), 40).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 40)
+
+
 def test_nulls_and_repeated_rows(spark, documents):
     long = "".join(chr(97 + i * i % 26) for i in range(500))
     rows = [(1, None), (None, long), (3, long + "tail"), (4, "q" + long[1:]), (4, "q" + long[1:])]
