@@ -49,16 +49,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def free(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` or ``measured`` gave, once all that was made of them is written itself.
-
-    The collection lets Spark's cleaner see that shuffles of finished jobs are not needed, so it removes their files too.
-    """
+    """Removes tables that ``written`` or ``measured`` gave, once all that was made of them is written itself."""
     for table in tables:
         pair = (table.sparkSession, table._written_at)
         _written.remove(pair)
         _remove(*pair)
     if tables:
-        tables[0].sparkSession._jvm.System.gc()
+        release(tables[0])
+
+
+def release(df: DataFrame) -> None:
+    """A collection lets Spark's cleaner see that the shuffles of finished jobs are not needed, so it removes their files."""
+    df.sparkSession._jvm.System.gc()
 
 
 @atexit.register
