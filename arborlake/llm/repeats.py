@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborlake.llm.shared import free, measured, slices, text_key, written
+from arborlake.llm.shared import free, measured, release, slices, text_key, written
 
 LENGTH = 400
 WORDS = 51
@@ -423,7 +423,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     parts = written(cells_of(docs, asked, length, words, least), "parts")
     free(inners)
     one = F.struct("doc_id", "text_key", "lo", "number", "alone")
-    kinds = written(parts.groupBy("inner", "outer", "outer2").agg(F.count("*").alias("n"), F.min(one).alias("one")), "kinds")
+    kinds = parts.groupBy("inner", "outer", "outer2").agg(F.count("*").alias("n"), F.min(one).alias("one"))
+    kinds = written(kinds.where("n > 1 or one.number > 0"), "kinds")  # a passage that occurs once is settled
+    release(kinds)
     shared = kinds.where("n > 1").select(F.col("outer").alias("c_outer"), F.col("outer2").alias("c_outer2"), F.col("inner").alias("c_inner"))
     same = (F.col("outer") == F.col("c_outer")) & (F.col("outer2") == F.col("c_outer2")) & (F.col("inner") == F.col("c_inner"))
     found = parts.where("alone").join(shared, same)
@@ -436,6 +438,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, words: int = WORDS, le
     free(undecided)
     twice = single.groupBy(F.col("digest").alias("d_digest"), F.col("digest2").alias("d_digest2")).agg(F.count("*").alias("n")).where("n > 1")
     twice = written(twice, "twice")
+    release(twice)
     last = single.where("alone").join(twice, (F.col("digest") == F.col("d_digest")) & (F.col("digest2") == F.col("d_digest2"))).select(
         "doc_id", "text_key", "lo", (F.col("lo") + length).alias("hi"), F.lit(0).alias("words_lo"), F.lit(0).alias("words_hi")
     )

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arborlake.storage import free, measured, shared_dir, written
+from arborlake.storage import free, measured, release, shared_dir, written
 
-__all__ = ["free", "measured", "shared_dir", "slices", "table", "text_key", "written"]
+__all__ = ["free", "measured", "release", "shared_dir", "slices", "table", "text_key", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
