@@ -186,7 +186,7 @@ def _snapshots(g: Graph) -> tuple[DataFrame, DataFrame]:
     return g.edges.where(~F.col("target").endswith("7")), g.edges.where(~F.col("target").endswith("3"))
 
 
-DIFF = "WITH $T, old AS (SELECT * FROM g_edges WHERE target NOT LIKE '%7'), new AS (SELECT * FROM g_edges WHERE target NOT LIKE '%3') SELECT source, target, relation FROM {a} a WHERE NOT EXISTS (SELECT 1 FROM {b} b WHERE a.source = b.source AND a.target = b.target AND a.relation = b.relation)"
+DIFF = "WITH $T, old AS MATERIALIZED (SELECT * FROM g_edges WHERE target NOT LIKE '%7'), new AS MATERIALIZED (SELECT * FROM g_edges WHERE target NOT LIKE '%3') SELECT source, target, relation FROM {a} ANTI JOIN {b} USING (source, target, relation)"
 
 
 @query(DIFF.format(a="new", b="old"))
@@ -357,24 +357,13 @@ def debounce_sessions(spark, d):
 # ---- text and ranking
 
 
-@query("SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) >= 2) AS tokens FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: len(w) >= 2) AS tokens FROM documents")
 def tokens_store(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", text.store_tokens(F.col("text")).alias("tokens"))
-
-
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+'))::INTEGER AS n, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')).len()::INTEGER AS different FROM documents WHERE lang = 'en'")
-def tokens_search(spark, d):
-    words = text.search_tokens(F.col("text"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("different"))
-
-
-@query(SQL["tokens_store"].replace(" WHERE lang = 'en'", ""))
-def tokens_store_all(spark, d):
     return table(spark, d, "documents").select("doc_id", text.store_tokens(F.col("text")).alias("tokens"))
 
 
-@query(SQL["tokens_search"].replace(" WHERE lang = 'en'", ""))
-def tokens_search_all(spark, d):
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9_]+'))::INTEGER AS n, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')).len()::INTEGER AS different FROM documents")
+def tokens_search(spark, d):
     words = text.search_tokens(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("different"))
 
@@ -415,11 +404,11 @@ def dense_cosine_topk(spark, d):
 
 
 RRF_SQL = f"""{BM25_SQL}, c AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 3)), 8) AS score FROM embeddings),
-r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM bm WHERE score > 0 QUALIFY p < 200 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM c QUALIFY p < 200),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM bm WHERE score > 0 UNION ALL SELECT id, row_number() OVER (ORDER BY score DESC, id) - 1 AS p FROM c),
 fused AS (SELECT id, round(sum(1.0::DOUBLE / (60 + p + 1)), 10) AS score FROM r GROUP BY id)"""
 
 
-def _fused(spark, d, most: int | None = 200) -> DataFrame:
+def _fused(spark, d, most: int | None = None) -> DataFrame:
     e = table(spark, d, "embeddings")
     q = [float(x) for x in e.where("vec_id = 3").first()["embedding"]]
     return search.fused(bm25_score(spark, d), search.dense(e, q, "vec_id", "embedding"), most=most)
@@ -435,7 +424,7 @@ a AS (SELECT id, score, label, source_file, row_number() OVER (PARTITION BY sour
 adjusted AS (SELECT id, round(score * CASE WHEN contains(source_file, '/tests/') THEN 0.05 ELSE 1 END::DOUBLE * CASE WHEN contains(lower(label), 'the') OR contains(lower(label), 'tion') THEN 1.5 ELSE 1 END::DOUBLE * pow(0.5, k), 10) AS score FROM a)"""
 
 
-def _adjusted(spark, d, most: int | None = 200) -> DataFrame:
+def _adjusted(spark, d, most: int | None = None) -> DataFrame:
     docs = table(spark, d, "documents")
     file = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("a/tests/"), "source")).otherwise(F.col("source"))
     return search.adjusted(_fused(spark, d, most), docs.select(F.col("doc_id").alias("id"), F.substring("text", 1, 20).alias("label"), file.alias("source_file")), ["the", "tion"])
@@ -451,21 +440,6 @@ def seed_cut(spark, d):
     return search.seeds(_adjusted(spark, d), 8, 0.2)
 
 
-@query(SQL["rrf_fused"].replace(" QUALIFY p < 200", ""))
-def rrf_fused_all(spark, d):
-    return _fused(spark, d, None)
-
-
-@query(SQL["score_adjusted"].replace(" QUALIFY p < 200", ""))
-def score_adjusted_all(spark, d):
-    return _adjusted(spark, d, None)
-
-
-@query(SQL["seed_cut"].replace(" QUALIFY p < 200", ""))
-def seed_cut_all(spark, d):
-    return search.seeds(_adjusted(spark, d, None), 8, 0.2)
-
-
 @query("""WITH $T, t AS (SELECT id, label, ord, CASE WHEN lower(label) = 'small ring' THEN 0 WHEN starts_with(lower(label), 'small ring') THEN 1 WHEN contains(lower(label), 'small ring') THEN 2 END AS tier FROM g_nodes)
 SELECT id, label, tier FROM t WHERE tier IS NOT NULL ORDER BY tier, ord LIMIT 20""")
 def find_node_tiers(spark, d):
@@ -488,10 +462,10 @@ def seed_resolution(spark, d):
     return search.resolved_seed(trade_graph(spark, d).nodes, "nation_7")
 
 
-@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)) AS s FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey < 60 AND b.p_partkey < 60 WHERE jaro_similarity(lower(a.p_name), lower(b.p_name)) > 0.72)
+@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, jaro_winkler_similarity(lower(a.p_name), lower(b.p_name)) AS s FROM part a JOIN part b ON a.p_partkey < b.p_partkey WHERE jaro_similarity(lower(a.p_name), lower(b.p_name)) > 0.72)
 SELECT a, b, round(s, 6) AS score FROM p""")
 def jaro_winkler_pairs(spark, d):
-    return _alike_parts(table(spark, d, "part").where("p_partkey < 60"))
+    return _alike_parts(table(spark, d, "part"))
 
 
 def _alike_parts(parts: DataFrame) -> DataFrame:
@@ -505,11 +479,6 @@ def _alike_parts(parts: DataFrame) -> DataFrame:
     return s.where(jaro > 0.72).select("a", "b", F.round("s", 6).alias("score"))
 
 
-@query(SQL["jaro_winkler_pairs"].replace(" AND a.p_partkey < 60 AND b.p_partkey < 60", ""))
-def jaro_winkler_pairs_all(spark, d):
-    return _alike_parts(table(spark, d, "part"))
-
-
 # ---- walks and structure
 
 
@@ -595,14 +564,8 @@ def strong_components(spark, d):
     return analytics.strong_components(Graph(edges.select(F.explode(F.array("source", "target")).alias("id")), edges, True))
 
 
-@query("WITH $T SELECT source, target FROM g_edges WHERE relation = 'inherits' OR source LIKE 'customer:%'")
-def bridges(spark, d):
-    g = trade_graph(spark, d)
-    return analytics.bridges(g.with_edges(g.edges.where("source not like 'supplier:%'")))
-
-
 @query()
-def bridges_all(spark, d):
+def bridges(spark, d):
     return analytics.bridges(trade_graph(spark, d))
 
 
@@ -744,7 +707,7 @@ def tree_folders(spark, d):
     return tree(trade_graph(spark, d).nodes).where("kind = 'folder'").select("folder", "depth", "name", "total")
 
 
-@query("""WITH $T, old AS (SELECT * FROM g_edges WHERE target NOT LIKE '%7'), new AS (SELECT * FROM g_edges WHERE target NOT LIKE '%3') SELECT 'edge_added' AS type, count(*) AS n FROM (SELECT source, target, relation FROM new EXCEPT SELECT source, target, relation FROM old)
+@query("""WITH $T, old AS (SELECT * FROM g_edges WHERE target NOT LIKE '%7'), new AS MATERIALIZED (SELECT * FROM g_edges WHERE target NOT LIKE '%3') SELECT 'edge_added' AS type, count(*) AS n FROM (SELECT source, target, relation FROM new EXCEPT SELECT source, target, relation FROM old)
 UNION ALL SELECT 'edge_removed', count(*) FROM (SELECT source, target, relation FROM old EXCEPT SELECT source, target, relation FROM new) UNION ALL SELECT 'node_added', count(*) FROM g_nodes WHERE file_type = 'module'""")
 def change_feed(spark, d):
     from arborlake.streaming.changes import change_events
@@ -754,19 +717,11 @@ def change_feed(spark, d):
     return change_events(Graph(g.nodes.where("file_type != 'module'"), old), Graph(g.nodes, new)).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query("""WITH e AS (SELECT ts, event_type, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) < 30000000 THEN 0 ELSE 1 END AS s FROM events WHERE event_id < 500),
-g AS (SELECT *, sum(s) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT min(ts) AS first_ts, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM g GROUP BY g""")
+@query("""WITH e AS (SELECT ts, event_id, event_type, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY ts, event_id)) < 30000000 THEN 0 ELSE 1 END AS s FROM events),
+g AS (SELECT *, sum(s) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS g FROM e) SELECT min(ts) AS first_ts, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS paths FROM g GROUP BY g""")
 def quiet_batches(spark, d):
     from arborlake.streaming.changes import quiet_batches as batches
 
-    e = table(spark, d, "events").where("event_id < 500").select("ts", F.col("event_type").alias("path"))
-    return batches(e, "30 seconds").select("first_ts", F.array_join("paths", ",").alias("paths"))
-
-
-@query(SQL["quiet_batches"].replace(" WHERE event_id < 500", "").replace("OVER (ORDER BY ts ROWS", "OVER (ORDER BY ts, event_id ROWS").replace("SELECT ts, event_type, CASE", "SELECT ts, event_id, event_type, CASE"))
-def quiet_batches_all(spark, d):
-    from arborlake.streaming.changes import quiet_batches as batches
-
     e = table(spark, d, "events").select("ts", F.col("event_type").alias("path"))
     return batches(e, "30 seconds").select("first_ts", F.array_join("paths", ",").alias("paths"))
 

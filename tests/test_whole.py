@@ -13,10 +13,10 @@ DATA = "/root/testdata/sf0.001"
 
 
 def test_pairs_and_batches_of_whole_tables(spark):
-    keys = catalogue.QUERIES["jaro_winkler_pairs_all"](spark, DATA).agg(F.max("b")).first()[0]
+    keys = catalogue.QUERIES["jaro_winkler_pairs"](spark, DATA).agg(F.max("b")).first()[0]
     assert keys >= 60
     newest = table(spark, DATA, "events").agg(F.max("ts")).first()[0]
-    last = catalogue.QUERIES["quiet_batches_all"](spark, DATA).agg(F.max("first_ts")).first()[0]
+    last = catalogue.QUERIES["quiet_batches"](spark, DATA).agg(F.max("first_ts")).first()[0]
     assert (newest - last).total_seconds() < 86400
 
 
@@ -77,7 +77,7 @@ def test_structure_of_the_whole_trade_graph(spark):
                     todo.append(m)
         return b not in seen
 
-    got = {tuple(r) for r in catalogue.QUERIES["bridges_all"](spark, DATA).collect()}
+    got = {tuple(r) for r in catalogue.QUERIES["bridges"](spark, DATA).collect()}
     assert got == {e for e in edges if cut(*e)} and len(got) < len(edges)
     found = {r["id"]: r["community"] for r in catalogue.QUERIES["communities"](spark, DATA).collect()}
     assert set(found) == {r["id"] for r in g.nodes.select("id").collect()}
@@ -86,5 +86,5 @@ def test_structure_of_the_whole_trade_graph(spark):
 
 def test_tokens_of_all_languages(spark):
     ids = {r["doc_id"] for r in table(spark, DATA, "documents").select("doc_id").collect()}
-    for name in ("tokens_store_all", "tokens_search_all"):
+    for name in ("tokens_store", "tokens_search"):
         assert {r["doc_id"] for r in catalogue.QUERIES[name](spark, DATA).collect()} == ids
