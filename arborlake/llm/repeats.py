@@ -455,22 +455,33 @@ def _undecided(kinds: DataFrame, inner: str) -> DataFrame:
     return written(many.select("u_inner"), "undecided")
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Overlapping and touching spans made one, in order; empty ones are left out."""
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(s for s in spans if s[0] < s[1]):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(hi, out[-1][1]))
-        else:
-            out.append((lo, hi))
-    return out
+def merged(spans: pa.Array, *fields: tuple[str, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, begin and end of each run that a text's spans cover, in order, for a list of spans (structs) for each text.
 
-
-def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    if not runs:
-        return text
-    bounds = [0, *[x for run in runs for x in run], len(text)]
-    return b"".join([text[a:b] for a, b in zip(bounds[::2], bounds[1::2])])
+    ``fields`` name the ends that count. Overlapping and touching spans are one run; empty ones are left out.
+    """
+    number, flat = np.repeat(np.arange(len(spans)), spans.value_lengths().fill_null(0).to_numpy()), spans.flatten()
+    lo, hi = (np.concatenate([flat.field(f[i]).to_numpy().astype(np.int64) for f in fields]) for i in (0, 1))
+    some = np.flatnonzero(lo < hi)
+    own, lo, hi = np.tile(number, len(fields))[some], lo[some], hi[some]
+    order = np.lexsort((lo, own))
+    own, lo, hi = own[order], lo[order], hi[order]
+    base = own * (hi.max(initial=0) + 1)  # runs of two texts never touch
+    top = np.maximum.accumulate(hi + base)
+    heads = np.flatnonzero(np.append(True, lo[1:] + base[1:] > top[:-1])) if len(own) else own
+    ends = np.append(heads[1:], len(own))[: len(heads)] - 1
+    return own[heads], lo[heads], top[ends] - base[ends]
+
+
+def kept(texts: list[bytes], own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
+    """The texts without the given runs."""
+    left = list(texts)
+    heads = _heads(own).tolist()
+    for a, b in zip(heads, [*heads[1:], len(own)]):
+        text = texts[own[a]]
+        bounds = [0, *np.column_stack((lo[a:b], hi[a:b])).ravel().tolist(), len(text)]
+        left[own[a]] = b"".join([text[x:y] for x, y in zip(bounds[::2], bounds[1::2])])
+    return left
 
 
 def _with_spans(docs: DataFrame, *windows: int) -> DataFrame:
@@ -498,13 +509,14 @@ def op10(docs: DataFrame, length: int = LENGTH, words: int = WORDS, least: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = []
-            for text, spans in zip(_texts(batch.column(1)), batch.column(2).to_pylist()):
-                runs = merged([(s["lo"], s["hi"]) for s in spans or []])
-                passages = merged([(s["words_lo"], s["words_hi"]) for s in spans or []])
-                left = kept(text, runs)
-                rows.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), len(passages), sum(b - a for a, b in passages)))
-            columns = zip(*rows) if rows else [()] * len(types)
+            texts, n = _texts(batch.column(1)), batch.num_rows
+            own, lo, hi = merged(batch.column(2), ("lo", "hi"))
+            words_own, words_lo, words_hi = merged(batch.column(2), ("words_lo", "words_hi"))
+            columns = [
+                [len(t) for t in texts], np.bincount(own, hi - lo, n).astype(np.int64), np.bincount(own, minlength=n),
+                [hashlib.sha256(t).hexdigest() for t in kept(texts, own, lo, hi)],
+                np.bincount(words_own, minlength=n), np.bincount(words_own, words_hi - words_lo, n).astype(np.int64),
+            ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, types)]], names=names)
 
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long")
@@ -517,12 +529,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, words: int = WORDS, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts, stay = [], []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                cuts = merged([x for s in spans or [] for x in ((s["lo"], s["hi"]), (s["words_lo"], s["words_hi"]))])
-                left = kept(text.encode(), cuts).decode("utf-8", "ignore") if cuts else text
-                texts.append(left)
-                stay.append(not cuts or left != "")
+            texts = batch.column(at).to_pylist()
+            own, lo, hi = merged(batch.column(len(columns)), ("lo", "hi"), ("words_lo", "words_hi"))
+            cut = np.unique(own).tolist()
+            number = np.searchsorted(cut, own) if cut else own
+            stay = np.ones(len(texts), dtype=bool)
+            for i, left in zip(cut, kept([texts[i].encode() for i in cut], number, lo, hi)):
+                texts[i] = left.decode("utf-8", "ignore")
+                stay[i] = texts[i] != ""
             arrays = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(stay, pa.bool_()))
 
