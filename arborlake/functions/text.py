@@ -213,11 +213,13 @@ def count_bucket(n: Column) -> Column:
 
 
 def utc_day(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd")
+    """The day in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(epoch / 86400).cast("int")).cast("string")
 
 
 def utc_iso(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    second = F.pmod(F.floor(epoch).cast("long"), F.lit(86400))
+    return F.concat(utc_day(epoch), F.format_string("T%02d:%02d:%02dZ", F.floor(second / 3600), F.floor(second / 60) % 60, second % 60))
 
 
 def confidence_score(confidence: Column) -> Column:
