@@ -150,6 +150,13 @@ def variant_groups(edges: DataFrame, keys: list[str], field: str) -> DataFrame:
     return edges.groupBy(*keys).agg(F.countDistinct(field).alias("n")).agg(F.count_if(F.col("n") > 1).alias("groups"))
 
 
+def diagnostics_report(graph: Graph) -> DataFrame:
+    """line, text: the edge diagnostics as lines of a report, one for each figure, in their order."""
+    found = edge_diagnostics(graph)
+    lines = F.array(F.lit("edge diagnostics"), *[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in found.columns])
+    return found.select(F.posexplode(lines).alias("line", "text"))
+
+
 def surplus(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row: rows beyond the first of each group."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"))
