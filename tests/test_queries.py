@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from arborlake.plans import catalogue
+from arborlake.plans import catalogue, columns  # noqa: F401  columns adds its queries to the catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
