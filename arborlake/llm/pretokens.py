@@ -3,7 +3,7 @@
 A text is split as the byte-level pattern does: contractions after an apostrophe, then runs of letters, of numbers and
 of other signs, each with one space before it, and runs of white space of which the last character stays out if
 something follows. Special strings are cut out first. The split works on arrays of code points, not by pattern
-matching, and names each pre-token by a 64-bit key, so that only different pre-tokens need encoding.
+matching, and names each pre-token by a 64-bit key, by two where keys meet, so that only different pre-tokens need encoding.
 """
 
 from __future__ import annotations
@@ -115,7 +115,8 @@ def split(texts: list[str], special: str) -> Split:
     check = np.add.reduceat(two[points] * power, starts)
     keys, seen, which = np.unique(key, return_index=True, return_inverse=True)
     if not (check[seen][which] == check).all():
-        raise ValueError("two pre-tokens share a key")
+        both, seen, which = np.unique(np.rec.fromarrays([key, check]), return_index=True, return_inverse=True)
+        keys = both.f0
     parts = points[: n]
     words: list[str | None] = []
     for a, b in zip(starts[seen].tolist(), (starts[seen] + sizes[seen]).tolist()):
