@@ -60,6 +60,8 @@ class Vocabulary:
             self.parts.append((a, b))
             self.bytes.append(self.bytes[a] + self.bytes[b])
             self.ids.append(model["vocab"][left + right])
+        self.pairs = np.array(sorted(self.merged), dtype=np.int64)
+        self.ranks = np.array([self.merged[p] for p in self.pairs.tolist()], dtype=np.int64)
         self.ids_of = np.array(self.ids, dtype=np.uint32)
         self.token_bytes: list[bytes] = [b""] * (max(max(self.ids), self.special_id) + 1)
         for text, i in model["vocab"].items():
@@ -75,50 +77,62 @@ def vocabulary(name: str = VOCABULARY) -> Vocabulary:
 
 
 def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of all words in one array, and how many each word has."""
-    merged = vocab.merged
-    symbols = list(b"".join(words))
+    """Symbols of all words in one array, and how many each word has. All positions of a rank are merged at once."""
+    if not words:
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    symbols = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int32)
     n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = 0
-    for word in words:
-        before[end] = -1
-        end += len(word)
-        after[end - 1] = -1
-    where: dict[int, list[int]] = {}
-    for i in range(n):
-        if after[i] >= 0 and (r := merged.get(symbols[i] << 17 | symbols[i + 1])) is not None:
-            where.setdefault(r, []).append(i)
-    active = list(where)
-    heapq.heapify(active)
-    parts = vocab.parts
+    ends = np.cumsum([len(w) for w in words])
+    bounds = np.concatenate(([0], ends[:-1]))
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after[ends - 1], before[bounds] = -1, -1
+    where: dict[int, list[np.ndarray]] = {}
+    active: list[int] = []
+
+    def enter(left: np.ndarray, right: np.ndarray, positions: np.ndarray) -> None:
+        """Puts positions into the lists of the ranks that their pairs have."""
+        pairs = left.astype(np.int64) << 17 | right
+        place = np.minimum(np.searchsorted(vocab.pairs, pairs), len(vocab.pairs) - 1)
+        known = vocab.pairs[place] == pairs
+        ranks = vocab.ranks[place[known]]
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, positions = ranks[order], positions[known][order]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for r, i, k in zip(ranks[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if r in where:
+                where[r].append(positions[i:k])
+            else:
+                where[r] = [positions[i:k]]
+                heapq.heappush(active, r)
+
+    inner = np.flatnonzero(after >= 0)
+    enter(symbols[inner], symbols[inner + 1], inner)
     while active:
         rank = heapq.heappop(active)
-        left, right = parts[rank]
-        for i in sorted(where.pop(rank)):
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
-                continue
-            k = after[j]
-            symbols[i], symbols[j], after[i] = rank, -1, k
-            if k >= 0:
-                before[k] = i
-                if (r := merged.get(rank << 17 | symbols[k])) is not None:
-                    if r in where:
-                        where[r].append(i)
-                    else:
-                        where[r] = [i]
-                        heapq.heappush(active, r)
-            if (h := before[i]) >= 0 and (r := merged.get(symbols[h] << 17 | rank)) is not None:
-                if r in where:
-                    where[r].append(h)
-                else:
-                    where[r] = [h]
-                    heapq.heappush(active, r)
-    out = np.array(symbols, dtype=np.int32)
-    alive = out >= 0
-    bounds = np.cumsum([0, *map(len, words)])[:-1]
-    return out[alive], np.add.reduceat(alive, bounds, dtype=np.int64) if words else np.empty(0, np.int64)
+        left, right = vocab.parts[rank]
+        lists = where.pop(rank)
+        at = np.unique(np.concatenate(lists) if len(lists) > 1 else lists[0])
+        j = after[at]
+        good = (symbols[at] == left) & (j >= 0) & (symbols[j] == right)  # j = -1 reads the last symbol, which decides nothing
+        at, j = at[good], j[good]
+        if left == right and len(at) > 1:  # in a run of equal symbols each second pair goes, from the left
+            index = np.arange(len(at))
+            head = np.concatenate(([True], j[:-1] != at[1:]))
+            each = (index - np.maximum.accumulate(np.where(head, index, 0))) % 2 == 0
+            at, j = at[each], j[each]
+        if not len(at):
+            continue
+        k = after[j]
+        symbols[at], symbols[j], after[at] = rank, -1, k
+        follows = k >= 0
+        before[k[follows]] = at[follows]
+        h = before[at]
+        h = h[h >= 0]
+        enter(symbols[np.concatenate((at[follows], h))], symbols[np.concatenate((k[follows], after[h]))], np.concatenate((at[follows], h)))
+    alive = symbols >= 0
+    return symbols[alive], np.add.reduceat(alive, bounds, dtype=np.int64)
 
 
 class Store:

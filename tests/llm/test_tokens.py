@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from arborlake.llm import bpe, token_counts
+from arborlake.llm import bpe, pretokens, token_counts
 
 PIECES = ["'s", "'t", "'re", "'ll", " ", "  ", "\n", "\t", "a", "Z", "é", "ß", "1", "½", "!", "'", "\"", "-", "中", "𝔘", " ", "\x85", "\x1c", "\x00", "<|endoftext|>", "<|endof", "😀", "foo", "don't", "the", "\U0010ffff"]
 
@@ -79,3 +79,35 @@ def test_bytes_that_are_no_text():
 
 def test_empty(spark, documents):
     assert bpe.op4(documents([])).count() == 0 and token_counts.op6(documents([])).count() == 0
+
+
+def test_runs_of_equal_symbols_merge_from_the_left():
+    """Words of one or two letters, where pairs overlap, against merging the least rank again and again."""
+    vocab = bpe.vocabulary()
+    draw = random.Random(4)
+    words = [b"a" * n for n in range(1, 40)] + [b" " * n for n in range(1, 40)] + [bytes(draw.choice(b"aab ") for _ in range(draw.randint(1, 60))) for _ in range(300)]
+    want = []
+    for word in words:
+        symbols = list(word)
+        while ranks := [r for a, b in zip(symbols, symbols[1:]) if (r := vocab.merged.get(a << 17 | b)) is not None]:
+            rank, out, i = min(ranks), [], 0
+            while i < len(symbols):
+                if tuple(symbols[i : i + 2]) == vocab.parts[rank]:
+                    out.append(rank)
+                    i += 2
+                else:
+                    out.append(symbols[i])
+                    i += 1
+            symbols = out
+        want.append(symbols)
+    got, counts = bpe.encode_words(words, vocab)
+    assert got.tolist() == [x for w in want for x in w]
+    assert counts.tolist() == [len(w) for w in want]
+    assert bpe.encode_words([], vocab)[0].tolist() == []
+
+
+def test_pre_tokens_whose_keys_meet_stay_apart(monkeypatch):
+    kinds, one, two, width = pretokens._tables()
+    monkeypatch.setattr(pretokens, "_tables", lambda: (kinds, one * 0, two, width))
+    s = pretokens.split(["ab cd ab", "ef"], bpe.vocabulary().special)
+    assert [s.words[i] for i in s.which] == ["ab", " cd", " ab", "ef"]
