@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,3 +99,20 @@ def cached_vectors(nodes: DataFrame, hashes: DataFrame, cache: DataFrame) -> tup
     now = nodes.join(hashes.select(F.col("path").alias("source_file"), "hash"), "source_file")
     valid = cache.select(F.col("path").alias("source_file"), "hash", "id", "vector")
     return now.join(valid, ["source_file", "hash", "id"]).select("id", "vector"), now.join(valid, ["source_file", "hash", "id"], "left_anti")
+
+
+def has_linked_folders(root: str) -> bool:
+    """Whether a local folder directly holds a link to a folder; False if it cannot be read. Scans then follow links."""
+    try:
+        with os.scandir(root) as entries:
+            return any(e.is_symlink() and e.is_dir() for e in entries)
+    except OSError:
+        return False
+
+
+def inside(path: str, base: str) -> str:
+    """The real path, links resolved. FileNotFoundError if it or the base is missing, ValueError if it leaves the base."""
+    real, root = os.path.realpath(path, strict=True), os.path.realpath(base, strict=True)
+    if os.path.commonpath([real, root]) != root:
+        raise ValueError(f"{path} is outside {base}")
+    return real

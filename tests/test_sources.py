@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from arborlake.extract import structure
@@ -138,3 +139,25 @@ def test_changes(spark):
 def test_structure_language(spark):
     rows = spark.createDataFrame([("a/package.json",), ("x.kt",), ("none",)], "p string")
     assert [r[0] for r in rows.select(structure.language(F.col("p"))).collect()] == ["json_package", "kotlin", None]
+
+
+def test_links_and_paths_outside(tmp_path):
+    from arborlake.sources.files import has_linked_folders, inside
+
+    base, other = tmp_path / "base", tmp_path / "other"
+    base.mkdir()
+    other.mkdir()
+    (base / "a.py").write_text("x")
+    assert not has_linked_folders(str(base))
+    (base / "file").symlink_to(base / "a.py")
+    (base / "broken").symlink_to(tmp_path / "none")
+    assert not has_linked_folders(str(base))
+    (base / "folder").symlink_to(other)
+    assert has_linked_folders(str(base))
+    assert not has_linked_folders(str(tmp_path / "none"))
+    assert inside(str(base / "a.py"), str(base)).endswith("a.py")
+    for bad in ("folder", "../other"):
+        with pytest.raises(ValueError):
+            inside(str(base / bad), str(base))
+    with pytest.raises(FileNotFoundError):
+        inside(str(base / "none"), str(base))
