@@ -1,7 +1,9 @@
 """The whole job of operators that were cut or registered over a part of their input, against brute force."""
 
+import random
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from arborlake.functions import text, vectors
@@ -84,6 +86,24 @@ def test_structure_of_the_whole_trade_graph(spark):
     assert any(found[a] == found[b] for a, b in edges if a.startswith("supplier:") and b.startswith("part:"))
 
 
+def test_bridges_are_found_without_one_task_for_a_component(spark, monkeypatch):
+    """However large a component is, no task may hold more than ``within`` of its edges."""
+    rng = random.Random(7)
+    edges = {tuple(sorted(rng.sample(range(c * 100, c * 100 + 60), 2))) for c in range(3) for _ in range(66)}
+    edges |= {(n, n + 1) for n in range(400, 420)} | {(420, 410)}
+    edges = [(f"n{a}", f"n{b}") for a, b in sorted(edges)]
+    want = {tuple(sorted((r["u"], r["v"]))) for r in analytics._low_links(pd.DataFrame(edges, columns=["u", "v"])).to_dict("records")}
+    frame = spark.createDataFrame(edges, "source string, target string")
+    g = Graph(frame.select(F.explode(F.array("source", "target")).alias("id")).distinct(), frame)
+    for size, rounds in ((40, 64), (10**6, 64), (40, 5)):
+        if rounds > 5:
+            monkeypatch.setattr(analytics, "_low_links", None)
+        else:
+            monkeypatch.undo()
+        got = {tuple(sorted(r)) for r in analytics.bridges(g, 0, size, rounds).collect()}
+        assert got == want and 0 < len(want) < len(edges)
+
+
 def test_tokens_of_all_languages(spark):
     ids = {r["doc_id"] for r in table(spark, DATA, "documents").select("doc_id").collect()}
     for name in ("tokens_store", "tokens_search"):
