@@ -104,6 +104,36 @@ def test_bridges_are_found_without_one_task_for_a_component(spark, monkeypatch):
         assert got == want and 0 < len(want) < len(edges)
 
 
+def test_communities_read_links_a_few_at_a_time(spark):
+    """A task holds ``held`` links at a time; moves are those of plain dictionaries."""
+    rng = random.Random(3)
+    edges = sorted((f"n{rng.randrange(c, c + 25)}", f"n{rng.randrange(c, c + 25)}", float(rng.randrange(1, 9))) for c in (0, 20, 100) for _ in range(70))
+    near: dict[str, dict[str, float]] = {}
+    for a, b, w in edges:
+        for x, y in {(a, b), (b, a)}:
+            near.setdefault(x, {})[y] = near.setdefault(x, {}).get(y, 0.0) + w
+    total, degree = sum(w for _, _, w in edges), {n: sum(x.values()) for n, x in near.items()}
+    own, mass = {n: n for n in near}, dict(degree)
+    for _ in range(15):
+        for n in sorted(near):
+            links: dict[str, float] = {}
+            for other, w in near[n].items():
+                if other != n:
+                    links[own[other]] = links.get(own[other], 0.0) + w
+            gain = {c: links.get(c, 0.0) - mass[c] * degree[n] / (2 * total) for c in {*links, own[n]}}
+            best = max(sorted(links), key=gain.get, default=own[n])
+            if best != own[n] and gain[best] - gain[own[n]] > 1e-12:
+                mass[own[n]], mass[best], own[n] = mass[own[n]] - degree[n], mass[best] + degree[n], best
+    groups: dict[str, set[str]] = {}
+    for n, leader in {**own, "alone": "alone"}.items():
+        groups.setdefault(leader, set()).add(n)
+    want = {n: i for i, g in enumerate(sorted(groups.values(), key=min)) for n in g}
+    frame = spark.createDataFrame(edges, "source string, target string, weight double")
+    g = Graph(spark.createDataFrame([(n,) for n in [*near, "alone"]], "id string"), frame)
+    for held in (1, 1 << 20):
+        assert {r["id"]: r["community"] for r in analytics.detected_communities(g, held=held).collect()} == want
+
+
 def test_tokens_of_all_languages(spark):
     ids = {r["doc_id"] for r in table(spark, DATA, "documents").select("doc_id").collect()}
     for name in ("tokens_store", "tokens_search"):
