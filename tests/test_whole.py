@@ -134,6 +134,33 @@ def test_communities_read_links_a_few_at_a_time(spark):
         assert {r["id"]: r["community"] for r in analytics.detected_communities(g, held=held).collect()} == want
 
 
+def test_each_two_names_are_compared_once(spark):
+    """Parts far outnumber names: comparisons are counted by an accumulator and do not grow with the parts."""
+    names = ["red bolt", "red rod", "cold gear", "red bolts", None, ""]
+    parts = [(k, names[k % 6]) for k in range(90)]
+    frame = spark.createDataFrame(parts, "p_partkey long, p_name string")
+    want = set()
+    for (a, x), (b, y) in combinations(parts, 2):
+        if x is not None and y is not None:
+            s, n = vectors.jaro_winkler_of(x, y), sum(x[:i] == y[:i] for i in range(1, 5))
+            if (s - n * 0.1) / (1 - n * 0.1) > 0.72:
+                want.add((a, b, round(s, 6)))
+    calls, score = spark.sparkContext.accumulator(0), vectors.jaro_winkler
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([vectors.jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    vectors.jaro_winkler = counted
+    try:
+        got = [tuple(r) for r in catalogue._alike_parts(frame).collect()]
+    finally:
+        vectors.jaro_winkler = score
+    assert len(got) == len(set(got)) and set(got) == want
+    assert calls.value <= 4 * len(names) ** 2
+
+
 def test_tokens_of_all_languages(spark):
     ids = {r["doc_id"] for r in table(spark, DATA, "documents").select("doc_id").collect()}
     for name in ("tokens_store", "tokens_search"):
