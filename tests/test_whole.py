@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import text, vectors
 from arborlake.graph import Graph, table, trade_graph
-from arborlake.operators import analytics, search
+from arborlake.operators import aggregates, analytics, search
 from arborlake.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -49,6 +49,26 @@ def test_fuzzy_duplicates_of_hot_files(spark):
         assert want and got == want
 
 
+def test_fuzzy_duplicates_compare_what_is_not_linked_yet(spark):
+    """Labels by the thousand that link in their order take no comparison of all pairs."""
+    rows = [(f"n{i}", f"Customer#{i:09d}", "f", i % 2, i) for i in range(3000)] + [(f"m{i}", "Customer#000000007", "f", 3, 9000 + i) for i in range(3000)]
+    nodes = spark.createDataFrame(rows, "id string, label string, source_file string, community long, ord long")
+    calls, score = spark.sparkContext.accumulator(0), vectors.jaro_winkler
+
+    @F.pandas_udf("double")
+    def counted(a: pd.Series, b: pd.Series) -> pd.Series:
+        calls.add(len(a))
+        return pd.Series([vectors.jaro_winkler_of(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    vectors.jaro_winkler = counted
+    try:
+        got = {r["id"]: r["first_id"] for r in analytics.fuzzy_duplicates(nodes).collect()}
+    finally:
+        vectors.jaro_winkler = score
+    assert got == {r[0]: "n0" for r in rows[1:]}
+    assert calls.value < 30 * len(rows)
+
+
 def test_label_queries_read_all_nodes(spark):
     kinds = {r["id"].split(":")[0] for r in catalogue.QUERIES["fuzzy_dedup"](spark, DATA).collect()}
     assert "customer" in kinds
