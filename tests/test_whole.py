@@ -69,6 +69,22 @@ def test_fuzzy_duplicates_compare_what_is_not_linked_yet(spark):
     assert calls.value < 30 * len(rows)
 
 
+def test_pagerank_walks_edges_of_fed_nodes_only(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(f"a{i}", f"b{rng.randrange(6)}") for i in range(200)] + [("b0", "b1"), ("b1", "b2"), ("b1", "b2"), ("b2", "b0"), ("b3", "c")]
+    ids = sorted({x for e in edges for x in e})
+    rank, out = dict.fromkeys(ids, 1 / len(ids)), {i: sum(a == i for a, _ in edges) for i in ids}
+    for _ in range(7):
+        lost = sum(rank[i] for i in ids if not out[i])
+        rank = {i: 0.15 / len(ids) + 0.85 * lost / len(ids) + 0.85 * sum(rank[a] / out[a] for a, b in set(edges) if b == i) for i in ids}
+    seen, write = [], analytics.written
+    monkeypatch.setattr(analytics, "written", lambda df, name: seen.append((name, write(df, name))) or seen[-1][1])
+    frame = spark.createDataFrame(edges, "source string, target string")
+    got = {r["id"]: r["rank"] for r in analytics.pagerank(Graph(None, frame), 0.85, 7).collect()}
+    assert set(got) == set(ids) and all(abs(got[i] - rank[i]) < 1e-12 for i in ids)
+    assert {df.count() for name, df in seen if name == "ranks"} == {5}
+
+
 def test_label_queries_read_all_nodes(spark):
     kinds = {r["id"].split(":")[0] for r in catalogue.QUERIES["fuzzy_dedup"](spark, DATA).collect()}
     assert "customer" in kinds
