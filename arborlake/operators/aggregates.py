@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arborlake.functions import paths, text
 from arborlake.graph import Graph
@@ -242,20 +246,30 @@ def directory_rollup(files: DataFrame) -> DataFrame:
 def packed(units: DataFrame, budget: int) -> DataFrame:
     """id, bin: units in order of (group, ord) put into bins of at most ``budget`` tokens each, a new bin where the next does not fit.
 
-    Bins never cross groups (the parent folders), so a group is the unit of work; its rows are folded in order.
+    Bins never cross groups (the parent folders), so a group is the unit of work; its sorted rows stream through one task.
     units: group, ord, id, tokens.
     """
-    rows = units.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("ord", "id", F.col("tokens").cast("long").alias("tokens")))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("long").alias("bin"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<id:string,bin:bigint>>").alias("out"))
-
-    def put(acc: Column, x: Column) -> Column:
-        full = (acc["used"] > 0) & (acc["used"] + x["tokens"] > budget)
-        bin_ = F.when(full, acc["bin"] + 1).otherwise(acc["bin"])
-        used = F.when(full, x["tokens"]).otherwise(acc["used"] + x["tokens"])
-        return F.struct(bin_.alias("bin"), used.alias("used"), F.concat(acc["out"], F.array(F.struct(x["id"].cast("string").alias("id"), bin_.alias("bin")))).alias("out"))
-
-    folded = rows.select("group", F.explode(F.aggregate("rows", zero, put)["out"]).alias("x"))
-    return folded.select("group", F.col("x.id").alias("id"), F.col("x.bin").alias("bin"))
+    rows = units.select("group", "ord", "id", F.col("tokens").cast("long").alias("tokens")).repartition("group").sortWithinPartitions("group", "ord", "id", "tokens")
+    rows = rows.select("group", F.col("id").cast("string").alias("id"), "tokens")
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, bin_, used = object(), 0, 0
+        for pdf in frames:
+            bins = []
+            for group, n in zip(pdf["group"].tolist(), pdf["tokens"].tolist()):
+                if group != last:
+                    last, bin_, used = group, 0, 0
+                n = None if pd.isna(n) else int(n)
+                if used is None or n is None:
+                    used = None  # as a sum with null: all that follows stays in the bin
+                elif used > 0 and used + n > budget:
+                    bin_, used = bin_ + 1, n
+                else:
+                    used += n
+                bins.append(bin_)
+            yield pdf[["group", "id"]].assign(bin=bins)
+
+    return rows.mapInPandas(fold, T.StructType([rows.schema["group"], rows.schema["id"], T.StructField("bin", T.LongType())]))
 
 
 def merged_chunks(chunks: DataFrame) -> DataFrame:

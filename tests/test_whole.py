@@ -69,6 +69,19 @@ def test_fuzzy_duplicates_compare_what_is_not_linked_yet(spark):
     assert calls.value < 30 * len(rows)
 
 
+def test_packing_holds_no_group_in_a_list(spark):
+    sizes = [(i % 3, i, i * 7919 % 23 + (4000 if i % 500 == 0 else 0)) for i in range(6000)]
+    want, state = {}, {}
+    for group, i, n in sizes:
+        bin_, used = state.get(group, (0, 0))
+        state[group] = (bin_ + 1, n) if used and used + n > 100 else (bin_, used + n)
+        want[str(i)] = state[group][0]
+    units = spark.createDataFrame([(f"g{g}" if g else None, i, i, n) for g, i, n in sizes], "group string, ord long, id long, tokens long")
+    packed = aggregates.packed(units, 100)
+    assert {r["id"]: r["bin"] for r in packed.collect()} == want
+    assert "collect_list" not in packed._jdf.queryExecution().toString()
+
+
 def test_pagerank_walks_edges_of_fed_nodes_only(spark, monkeypatch):
     rng = random.Random(5)
     edges = [(f"a{i}", f"b{rng.randrange(6)}") for i in range(200)] + [("b0", "b1"), ("b1", "b2"), ("b1", "b2"), ("b2", "b0"), ("b3", "c")]
