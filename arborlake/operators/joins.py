@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arborlake.functions import text
 from arborlake.functions.paths import suffix_match
 from arborlake.graph import Graph
-from arborlake.storage import written
+from arborlake.storage import shuffled, written
 
 # Relations of callers and of type hierarchies.
 CALLER_RELATIONS = ["calls", "uses", "invokes"]
@@ -95,17 +95,19 @@ def export_closure(exports: DataFrame, stars: DataFrame, rounds: int = 32) -> Da
     """
     here = exports.where("from_module is null").select("module", "name", F.col("module").alias("origin"), F.col("name").alias("origin_name"))
     renamed = exports.where("from_module is not null")
-    known = here
+    renamed = shuffled(written(renamed, "renamed"))
+    known = last = written(here, "exports")
     for _ in range(rounds):
-        k = known.select(F.col("module").alias("from_module"), F.col("name").alias("from_name"), "origin", "origin_name")
+        # what was known a round before has found its names already
+        k = shuffled(last).select(F.col("module").alias("from_module"), F.col("name").alias("from_name"), "origin", "origin_name")
         named = renamed.join(k, ["from_module", "from_name"]).select("module", "name", "origin", "origin_name")
         starred = stars.join(k, "from_module").select("module", F.col("from_name").alias("name"), "origin", "origin_name")
         new = named.select("*", F.lit(0).alias("rank")).union(starred.select("*", F.lit(1).alias("rank")))
         new = new.groupBy("module", "name").agg(F.min(F.struct("rank", "origin", "origin_name")).alias("x")).select("module", "name", "x.origin", "x.origin_name")
-        new = written(new.join(known, ["module", "name"], "left_anti"), "exports")
-        if new.isEmpty():
+        last = written(new.join(shuffled(known), ["module", "name"], "left_anti"), "exports")
+        if last.isEmpty():
             break
-        known = known.unionByName(new)
+        known = known.unionByName(last)
     return known
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import text, vectors
 from arborlake.graph import Graph, table, trade_graph
-from arborlake.operators import aggregates, analytics, search
+from arborlake.operators import aggregates, analytics, joins, search
 from arborlake.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
@@ -98,6 +98,17 @@ def test_pagerank_walks_edges_of_fed_nodes_only(spark, monkeypatch):
     assert {df.count() for name, df in seen if name == "ranks"} == {5}
 
 
+def test_export_rounds_follow_the_last_names_only(spark, monkeypatch):
+    """A round may keep tables above a few rows out of the driver and takes up only what the round before found."""
+    marked = []
+    monkeypatch.setattr(joins, "shuffled", lambda df: marked.append(df.count()) or df, raising=False)
+    chain = [("m0", "n0", None, None)] + [(f"m{i}", f"n{i}", f"m{i - 1}", f"n{i - 1}") for i in range(1, 6)]
+    exports = spark.createDataFrame(chain, "module string, name string, from_module string, from_name string")
+    got = joins.export_closure(exports, spark.createDataFrame([("s", "m3")], "module string, from_module string"))
+    assert {tuple(r) for r in got.collect()} == {(f"m{i}", f"n{i}", "m0", "n0") for i in range(6)} | {("s", "n3", "m0", "n0")}
+    assert marked[1::2][:3] == [1, 1, 1]
+
+
 def test_label_queries_read_all_nodes(spark):
     kinds = {r["id"].split(":")[0] for r in catalogue.QUERIES["fuzzy_dedup"](spark, DATA).collect()}
     assert "customer" in kinds
