@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arborlake.storage import parts_for
+
 NODE_SCHEMA = T.StructType(
     [
         T.StructField("id", T.StringType(), False),
@@ -60,6 +62,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _bytes(df: DataFrame) -> int:
+    """The size of a table's files, as Spark knows it without a job."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Regions, nations, customers, suppliers and parts as nodes; belonging and supply as edges."""
     region, nation, customer, supplier, part, lineitem = (table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier", "part", "lineitem"))
@@ -87,7 +94,8 @@ def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
             F.lit(relation).alias("relation"), F.lit("EXTRACTED").alias("confidence"), F.lit(None).cast("string").alias("context"), F.lit(1.0).alias("weight"),
         )
 
-    supply = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.min("l_discount").alias("d"))
+    parts = parts_for(_bytes(lineitem), 2 << 20)  # a lineitem takes some 12 to 18 bytes
+    supply = lineitem.repartition(parts, "l_suppkey", "l_partkey").groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("q"), F.min("l_discount").alias("d"))
     calls = supply.select(
         F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("target"),
         F.lit("calls").alias("relation"), F.when(F.col("d") < 0.05, "EXTRACTED").otherwise("INFERRED").alias("confidence"), F.lit("call").alias("context"), F.col("q").alias("weight"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from arborlake.functions import paths, text
 from arborlake.graph import Graph
 from arborlake.operators.filters import FILE_ENDINGS, degrees, ends_with_any
+from arborlake.storage import measured, parts_for, shuffled
 
 # Words in labels and files that raise a node's risk.
 RISK_WORDS = "auth pay password token secret credit billing admin security encrypt hash key credential".split()
@@ -130,23 +131,41 @@ def churn_risk(graph: Graph, churn: DataFrame, bridges: DataFrame) -> DataFrame:
     return rows.select("id", (F.col("commits") * F.coalesce("degree", F.lit(0)) * (1 + F.coalesce("bridges", F.lit(0)))).alias("risk"))
 
 
-def edge_diagnostics(graph: Graph) -> DataFrame:
-    """One row: what is wrong or repeated among the edges, directed and undirected."""
-    ids = graph.nodes.select(F.col("id").alias("known")).distinct()
-    e = graph.edges.join(ids.withColumnRenamed("known", "ks"), F.col("source") == F.col("ks"), "left").join(ids.withColumnRenamed("known", "kt"), F.col("target") == F.col("kt"), "left")
+def edge_diagnostics(graph: Graph, each: int = 100_000) -> DataFrame:
+    """One row: what is wrong or repeated among the edges, directed and undirected.
+
+    Ends are looked up once each, edges only where some end is unknown. A pair and its reverse meet in one task, of
+    about ``each`` edges up to 200 tasks.
+    """
+    e, seen = measured(graph.edges.select("source", "target", "relation"), "diagnosed", rows=F.count(F.lit(1)))
+    parts = parts_for(seen["rows"], each)
+    ends = e.repartition(parts, "source", "target").select(F.explode(F.array("source", "target")).alias("id"), F.lit(0).alias("known"))
+    marks = ends.unionByName(graph.nodes.select("id", F.lit(1).alias("known"))).where("id != ''").groupBy("id").agg(F.max("known").alias("known"))
+    unknown, found = measured(marks.where("known = 0").select("id"), "unknown", rows=F.count(F.lit(1)))
+    lost = F.lit(False)
+    if found["rows"]:
+        for end in ("source", "target"):
+            e = e.join(shuffled(unknown).select(F.col("id").alias(f"no_{end}")), F.col(end) == F.col(f"no_{end}"), "left")
+        lost = F.col("no_source").isNotNull() | F.col("no_target").isNotNull()
     missing = F.col("source").isNull() | F.col("target").isNull() | (F.col("source") == "") | (F.col("target") == "")
-    dangling = ~missing & (F.col("ks").isNull() | F.col("kt").isNull())
-    valid = ~missing & ~dangling
-    marked = e.select("source", "target", "relation", missing.alias("missing"), dangling.alias("dangling"), valid.alias("valid"))
+    marked = e.select("source", "target", "relation", missing.alias("missing"), (~missing & lost).alias("dangling"), (~missing & ~lost).alias("valid"))
     own = marked.agg(
         F.count("*").alias("edges"), F.count_if("missing").alias("missing_ends"), F.count_if("dangling").alias("dangling"),
         F.count_if(F.col("valid") & (F.col("source") == F.col("target"))).alias("loops"), F.count_if("valid").alias("valid"),
     )
-    pairs = marked.where("valid").groupBy("source", "target").agg(F.count("*").alias("n"), F.countDistinct("relation").alias("relations"))
-    directed = pairs.agg(F.count("*").alias("pairs"), F.sum(F.col("n") - 1).alias("surplus"), F.count_if(F.col("relations") > 1).alias("variants"))
-    undirected = pairs.groupBy(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v")).agg(F.sum("n").alias("n"))
-    flat = undirected.agg(F.count("*").alias("undirected_pairs"), F.sum(F.col("n") - 1).alias("undirected_surplus"))
-    return own.join(F.broadcast(directed)).join(F.broadcast(flat)).na.fill(0)
+    ways = marked.where("valid").select(F.least("source", "target").alias("u"), F.greatest("source", "target").alias("v"), (F.col("source") > F.col("target")).alias("back"), "relation")
+    kinds = ways.repartition(parts, "u", "v").groupBy("u", "v", "back", "relation").agg(F.count("*").alias("n"))
+    told = F.col("relation").isNotNull()
+    pairs = kinds.groupBy("u", "v").agg(
+        F.sum("n").alias("n"), F.max((~F.col("back")).cast("int")).alias("there"), F.max(F.col("back").cast("int")).alias("back"),
+        F.count_if(~F.col("back") & told).alias("a"), F.count_if(F.col("back") & told).alias("b"),
+    )
+    directed, variants = (F.col("there") + F.col("back")).cast("long"), ((F.col("a") > 1).cast("long") + (F.col("b") > 1).cast("long"))
+    sums = pairs.agg(
+        F.sum(directed).alias("pairs"), F.sum(F.col("n") - directed).alias("surplus"), F.sum(variants).alias("variants"),
+        F.count("*").alias("undirected_pairs"), F.sum(F.col("n") - 1).alias("undirected_surplus"),
+    )
+    return own.join(F.broadcast(sums)).na.fill(0)
 
 
 def variant_groups(edges: DataFrame, keys: list[str], field: str) -> DataFrame:

@@ -44,6 +44,14 @@ def shuffled(table: DataFrame, most: int = 20_000) -> DataFrame:
     return table.hint("merge") if table.count() > most else table
 
 
+def parts_for(rows: int, each: int = 100_000, most: int = 200) -> int:
+    """How many partitions to deal rows to, so that a task's memory does not follow the input.
+
+    Adaptive execution keeps a number that was asked for. Up to 200 partitions a task writes without sorting or holding rows.
+    """
+    return max(1, min(most, -(-rows // each)))
+
+
 def measured(df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
     """The same, with aggregates of the rows that are taken while they are written."""
     seen = Observation()

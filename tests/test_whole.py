@@ -69,6 +69,29 @@ def test_fuzzy_duplicates_compare_what_is_not_linked_yet(spark):
     assert calls.value < 30 * len(rows)
 
 
+def test_diagnostics_deal_edges_to_tasks_by_their_number(spark):
+    """Pairs go to tasks of a size, not to as many as adaptive execution leaves; the figures are those of plain counting."""
+    rng = random.Random(11)
+    names = ["a", "b", "c", "d", "e", "gone", "", None]
+    edges = [(rng.choice(names), rng.choice(names), rng.choice(["calls", "uses", None])) for _ in range(200)] + [("f", "f", "x"), ("f", "g", "x"), ("g", "f", "y")]
+    for known in ("abcdefg", "abcdefg gone"):
+        ids = {*known.split()[0], *known.split()[1:]}
+        missing = [e for e in edges if not e[0] or not e[1]]
+        valid = [e for e in edges if e[0] in ids and e[1] in ids]
+        pairs = {e[:2] for e in valid}
+        flat = {tuple(sorted(p)) for p in pairs}
+        variants = sum(len({r for a, b, r in valid if (a, b) == p and r}) > 1 for p in pairs)
+        want = [len(edges), len(missing), len(edges) - len(missing) - len(valid), sum(a == b for a, b, _ in valid), len(valid)]
+        want += [len(pairs), len(valid) - len(pairs), variants, len(flat), len(valid) - len(flat)]
+        nodes = spark.createDataFrame([(i,) for i in [*sorted(ids), "a", "", None]], "id string")
+        got = aggregates.edge_diagnostics(Graph(nodes, spark.createDataFrame(edges, "source string, target string, relation string")))
+        assert list(got.first()) == want
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().toString()
+    none = Graph(nodes, spark.createDataFrame([], "source string, target string, relation string"))
+    assert list(aggregates.edge_diagnostics(none).first()) == [0] * 10
+    assert "REPARTITION_BY_NUM" in trade_graph(spark, DATA).edges._jdf.queryExecution().toString()
+
+
 def test_packing_holds_no_group_in_a_list(spark):
     sizes = [(i % 3, i, i * 7919 % 23 + (4000 if i % 500 == 0 else 0)) for i in range(6000)]
     want, state = {}, {}
