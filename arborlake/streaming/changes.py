@@ -6,13 +6,13 @@ import os
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arborlake.functions.paths import CODE_ENDINGS, DOCUMENT_ENDINGS, ending, is_skipped
 from arborlake.graph import Graph
 from arborlake.operators.filters import replace_sources
-from arborlake.storage import shared_dir
+from arborlake.storage import measured, parts_for, shared_dir, written
 
 
 def content_delta(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -35,11 +35,42 @@ def watched(events: DataFrame) -> DataFrame:
 
 def quiet_batches(events: DataFrame, gap: str = "500 milliseconds", late: str = "1 minute") -> DataFrame:
     """first_ts, paths: runs of watched events that end where nothing comes for ``gap``. Works on streams and on tables."""
-    source = events.withWatermark("ts", late) if events.isStreaming else events
-    runs = source.groupBy(F.session_window("ts", gap).alias("w"))
+    if not events.isStreaming:
+        return _batches_of_table(events, gap)
+    runs = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"))
     return runs.agg(F.sort_array(F.collect_set("path")).alias("paths")).select(F.col("w.start").alias("first_ts"), "paths")
 
 
+def _batches_of_table(events: DataFrame, gap: str, cells: int = 16_384) -> DataFrame:
+    """The same without one task for all rows: a session window has no key to deal them by.
+
+    What lies in one cell of time as wide as the gap is in one run, so a cell keeps each path once. Blocks of cells find
+    their runs alone; one task passes starts on from block to block, with one row for each block of time.
+    """
+    spark = events.sparkSession
+    wide = spark.sql("SELECT unix_micros(timestamp_micros(0) + CAST(:gap AS INTERVAL))", {"gap": gap}).first()[0]
+    later = F.expr(f"CAST('{wide} microseconds' AS INTERVAL)")
+    seen = events.groupBy(F.window("ts", f"{wide} microseconds").alias("w"), "path").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    seen, found = measured(seen.select(F.col("w.start").alias("cell"), "path", "first", "last"), "cells", rows=F.count(F.lit(1)))
+    parts = parts_for(found["rows"])
+
+    rows = seen.select(F.window("cell", f"{cells * wide} microseconds").alias("b"), "path", "first", "last").select(F.col("b.start").alias("block"), F.col("b.end").alias("next"), "path", "first", "last")
+    order = Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.max("last").over(Window.partitionBy("block").orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.repartition(parts, "block").withColumn("start", F.when(F.col("first") >= before + later, F.col("first")))
+    rows = rows.withColumn("start", F.max("start").over(order))  # null as long as the run may have begun before the block
+    runs = written(rows.groupBy("block", "next", "start", "path").agg(F.min("first").alias("first"), F.max("last").alias("last")), "runs")
+
+    blocks = runs.groupBy("block", "next").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("start").alias("start"))
+    in_time = Window.orderBy("block")
+    tied = (F.lag("next").over(in_time) == F.col("block")) & (F.col("first") < F.lag("last").over(in_time) + later)
+    begun = F.when(F.coalesce(tied, F.lit(False)), F.lag("start").over(in_time)).otherwise(F.col("first"))
+    begun = F.last(begun, ignorenulls=True).over(in_time.rowsBetween(Window.unboundedPreceding, 0))
+    heads = written(blocks.select("block", begun.alias("begun")), "blocks")
+    whole = runs.join(heads, "block").select(F.coalesce("start", "begun").alias("first_ts"), "path").repartition(parts, "first_ts")
+    return whole.groupBy("first_ts").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+
+
 def rebuild(graph: Graph, changed: DataFrame, extract: Callable[[DataFrame], Graph]) -> Graph:
     """The graph with the rows of changed files replaced by what ``extract`` finds in them. changed: source_file, content."""
     new = extract(changed)
@@ -75,8 +106,6 @@ def closed_days(log: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
 
 def trimmed(queue: DataFrame, most_bytes: int) -> DataFrame:
     """The newest lines (ord, line) that fit into ``most_bytes``."""
-    from pyspark.sql import Window
-
     used = F.sum(F.octet_length("line") + 1).over(Window.orderBy(F.desc("ord")))
     return queue.orderBy(F.desc("ord")).limit(most_bytes).withColumn("used", used).where(F.col("used") <= most_bytes).drop("used")
 

@@ -10,6 +10,7 @@ from arborlake.functions import text, vectors
 from arborlake.graph import Graph, table, trade_graph
 from arborlake.operators import aggregates, analytics, joins, search
 from arborlake.plans import catalogue
+from arborlake.streaming import changes
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,6 +23,33 @@ def test_pairs_and_batches_of_whole_tables(spark):
     assert (newest - last).total_seconds() < 86400
 
 
+def test_batches_need_no_task_for_all_events(spark):
+    """Runs over blocks of a few gaps, ties at exactly the gap and empty blocks, against one walk in order of time."""
+    rng = random.Random(4)
+    times, at = [], -50_000_000
+    for step in (3_000_000, 700_000, 9_000_000, 200_000):
+        for _ in range(120):
+            at += rng.choice([0, rng.randrange(step), step // 3, 1_000_000])
+            times.append(at)
+        at += rng.choice([1_000_000, 40_000_000])
+    rows = [(t, rng.choice(["a", "b", "c", None])) for t in times]
+    want: list[tuple[int, set]] = []
+    for i, (t, path) in enumerate(rows):
+        if not i or t - rows[i - 1][0] >= 1_000_000:
+            want.append((t, set()))
+        want[-1][1].add(path)
+    want = [(t, sorted(p - {None})) for t, p in want]
+    events = spark.createDataFrame([*rows, (None, "d")], "us long, path string").select(F.timestamp_micros("us").alias("ts"), "path")
+    for cells in (2, 3, 16_384):
+        found = changes._batches_of_table(events, "1 second", cells)
+        assert sorted((r[0], r[1]) for r in found.select(F.unix_micros("first_ts"), "paths").collect()) == want
+    for frame in (events, events.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "path"), events.limit(0)):
+        found = changes.quiet_batches(frame, "1 second")
+        assert found.schema["first_ts"].dataType == frame.schema["ts"].dataType
+        assert found.count() == (len(want) if frame.count() else 0)
+        assert "session_window" not in found._jdf.queryExecution().toString()
+
+
 def test_whole_lists_are_fused(spark):
     first = [(i, float(i * 7919 % 1501)) for i in range(1500)]
     second = [(i, float(i % 10)) for i in range(700, 1400)]
