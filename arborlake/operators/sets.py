@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from arborlake.functions.text import is_rationale
 from arborlake.graph import Graph
 from arborlake.operators.joins import first_by
+from arborlake.storage import parts_for, written
+
+# Fixed value: how many of the most frequent ends may be dealt to all tasks.
+MOST = 1000
 
 
 def concatenated(a: Graph, b: Graph) -> Graph:
@@ -50,13 +54,33 @@ def with_one_node_per_label(graph: Graph) -> Graph:
     return Graph(kept, moved(graph.edges, names), graph.directed)
 
 
-def moved(edges: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with their ends renamed by id -> first_id, one for each (source, target, relation)."""
-    a = names.select(F.col("id").alias("source"), F.col("first_id").alias("a"))
-    b = names.select(F.col("id").alias("target"), F.col("first_id").alias("b"))
-    rows = edges.join(a, "source", "left").join(b, "target", "left")
-    rows = rows.withColumn("source", F.coalesce("a", "source")).withColumn("target", F.coalesce("b", "target")).select(*edges.columns)
-    return distinct_edges(rows)
+def moved(edges: DataFrame, names: DataFrame, each: int = 100_000) -> DataFrame:
+    """Edges with their ends renamed by id -> first_id, one for each (source, target, relation).
+
+    Tasks take about ``each`` edges, up to 200 tasks; a sketch of frequent ends only says what is dealt to all of them.
+    """
+    columns = edges.columns
+    often = [F.expr(f"approx_top_k({end}, {MOST}, {32 * MOST})").alias(end) for end in ("source", "target")]
+    edges = written(edges, "moved")
+    top = edges.agg(F.count("*").alias("n"), *often).first()
+    parts = parts_for(top["n"], each)
+    names = written(names.where("id != first_id"), "names")
+    for end in ("source", "target"):
+        hubs = [x["item"] for x in top[end] if x["item"] is not None and x["count"] > top["n"] / parts / 2]
+        edges = _renamed(edges, names, end, hubs, parts)
+    return distinct_edges(edges.select(*columns))
+
+
+def _renamed(edges: DataFrame, names: DataFrame, end: str, hubs: list[str], parts: int) -> DataFrame:
+    """Edges with one end renamed; those of ``hubs`` are dealt to all tasks, to which the hub's name is copied."""
+    left, right, keys = edges, names.select(F.col("id").alias(end), "first_id"), [end]
+    if hubs:
+        hub, keys = F.coalesce(F.col(end).isin(hubs), F.lit(False)), [end, "__part"]
+        other = "target" if end == "source" else "source"
+        left = left.withColumn("__part", F.when(hub, F.pmod(F.hash(other, "relation"), F.lit(parts))).otherwise(0))
+        right = right.withColumn("__part", F.explode(F.when(hub, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    rows = left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("merge"), keys, "left")
+    return rows.withColumn(end, F.coalesce("first_id", end)).select(*edges.columns)
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:

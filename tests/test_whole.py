@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from arborlake.functions import text, vectors
 from arborlake.graph import Graph, table, trade_graph
-from arborlake.operators import aggregates, analytics, joins, search
+from arborlake.operators import aggregates, analytics, joins, search, sets
 from arborlake.plans import catalogue
 from arborlake.streaming import changes
 
@@ -120,6 +120,22 @@ def test_diagnostics_deal_edges_to_tasks_by_their_number(spark):
     assert "REPARTITION_BY_NUM" in trade_graph(spark, DATA).edges._jdf.queryExecution().toString()
 
 
+def test_moved_edges_are_dealt_by_their_number(spark):
+    """Edges of a hub are spread over the tasks, and the plan keeps the number of tasks that was asked for."""
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(40)}", "hub" if i % 2 else f"n{rng.randrange(40)}", rng.choice(["calls", "uses", None])) for i in range(300)] + [("n1", None, "x"), (None, "hub", "x")]
+    names = {f"n{i}": f"n{i % 7}" for i in range(30)} | {"hub": "n3"}
+    want = {(names.get(a, a), names.get(b, b), r) for a, b, r in edges}
+    frame = spark.createDataFrame(edges, "source string, target string, relation string")
+    pairs = spark.createDataFrame([*names.items()], "id string, first_id string")
+    for each in (20, 10**6):
+        got = sets.moved(frame, pairs, each)
+        rows = [tuple(r) for r in got.collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        plan = got._jdf.queryExecution().toString()
+        assert plan.count("REPARTITION_BY_NUM") >= 4 and ("__part" in plan) == (each == 20)
+
+
 def test_packing_holds_no_group_in_a_list(spark):
     sizes = [(i % 3, i, i * 7919 % 23 + (4000 if i % 500 == 0 else 0)) for i in range(6000)]
     want, state = {}, {}
